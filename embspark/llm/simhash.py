@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -67,9 +68,10 @@ def signed(x: int) -> int:
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Vertical bit planes: plane k holds bit k of all fingerprints, 64 to a word."""
-    room = -len(fps) % 64
-    bits = np.unpackbits(np.concatenate([fps, np.zeros(room, np.uint64)]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    """Vertical bit planes of fingerprints (rows of one or more words): a plane holds one bit of all of them, 64 to a word."""
+    fps = fps.reshape(len(fps), -1)
+    room = np.zeros((-len(fps) % 64, fps.shape[1]), np.uint64)
+    bits = np.unpackbits(np.concatenate([fps, room]).view(np.uint8), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view("<u8")
 
 
@@ -89,7 +91,7 @@ def within(planes: np.ndarray, lag: int, alive: np.ndarray, radius: int) -> np.n
     bits = max(1, radius.bit_length() + 1)
     counters = [np.zeros(len(live), np.uint64) for _ in range(bits)]
     over = np.zeros(len(live), np.uint64)
-    for first in range(0, 64, PLANES):
+    for first in range(0, len(planes), PLANES):
         for k in range(first, first + PLANES):
             p = planes[k]
             moved = p[ahead]
@@ -146,12 +148,16 @@ class Forest:
 def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs (i, j) of equal ``group`` (rows sorted by it) within the radius."""
     out, forest = [], Forest(len(fps))
+    if not len(fps):
+        return out
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     kept, base, lag = None, None, 1
     while True:
         if kept is None or lag & (lag - 1) == 0:  # again and again only the rows of large enough buckets
-            big = sizes > lag
+            roots = np.array([forest.root(i) for i in range(len(fps))]) if out else np.arange(len(fps))
+            # a bucket that is one tree has nothing more to say
+            big = (sizes > lag) & (np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts))
             if not big.any():
                 return out
             kept = np.flatnonzero(np.repeat(big, sizes))
@@ -280,5 +286,111 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return prints.join(named, "fp", "left").select("doc_id", text, "component_id")
 
 
+SKETCH = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def lane_hashes(hashes: np.ndarray, lanes: int) -> Iterator[np.ndarray]:
+    """Further 64-bit hashes of the same shingles."""
+    for lane in range(lanes):
+        h = hashes * np.uint64(2 * xxhash.xxh64_intdigest(b"lane", seed=lane) % (1 << 64) | 1)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(29)
+        yield h
+
+
+def sketch(words: list[bytes], shingle: int, lanes: int, tables: int) -> tuple[bytes, list[int]]:
+    """A wide fingerprint of the set of shingles, and keys: each table's least two hashes over the set, as one."""
+    if words:
+        join = b" ".join
+        grams = {join(words)} if len(words) <= shingle else set(map(join, zip(*(words[k:] for k in range(shingle)), strict=False)))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+    else:
+        hashes = np.zeros(1, np.uint64)
+    at = np.arange(0, len(hashes), 255)
+    bits = []
+    keys = []
+    for lane, h in enumerate(lane_hashes(hashes, max(lanes, 2 * tables))):
+        if lane < lanes:
+            counts = np.add.reduceat(SPREAD[h.view(np.uint8).reshape(-1, 8)], at, axis=0)
+            bits.append(2 * counts.view(np.uint8).sum(axis=0, dtype=np.int64) > len(hashes))
+        if lane < 2 * tables:
+            keys.append(int(h.min()))
+    pairs = [signed((a * 0x9E3779B97F4A7C15 + b + t) & FULL) for t, (a, b) in enumerate(zip(keys[::2], keys[1::2], strict=True))]
+    return np.packbits(np.concatenate(bits), bitorder="little").tobytes(), pairs
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits expected of two shingle sets with this Jaccard similarity."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 16, tables: int = 8) -> DataFrame:
+    """``doc_id, component_id``: documents linked by a similarity of ``similarity`` or more of their sets of word shingles.
+
+    The similarity is read off wide fingerprints (64 bits for each of ``lanes``): at 1024
+    bits it is right to about 0.02. Pairs meet in a bucket if their least two hashes agree in
+    one of ``tables`` tables, which at 0.8 fails once in 3000 pairs. Buckets are compared bit-sliced; one
+    above BUCKET rows is cut into tiles, each pair of which is compared by itself.
+    Texts without a word are one group; null ids take no part and have no row.
+    """
+
+    def draw(batches):
+        for part in slices(batches):
+            rows = [sketch(t.lower().split(), shingle, lanes, tables) for t in encoded(part.column("text"))]
+            yield to_batch(SKETCH, doc_id=part.column("doc_id"), fp=[r[0] for r in rows], keys=[r[1] for r in rows])
+
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    sketches = checkpoint(named.mapInArrow(draw, "doc_id long, fp binary, keys array<long>"))
+    nodes = sketches.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    rows = checkpoint(nodes.select(F.explode("keys").alias("key"), "node", "fp").withColumn("tile", F.lit(0).cast("long")))
+    sizes = checkpoint(rows.groupBy("key").count().where(F.col("count") > BUCKET))
+    if not sizes.isEmpty():
+        tiles = F.ceil(F.col("count") / BUCKET)
+        cut = rows.drop("tile").join(sizes, "key", "left").withColumn("tiles", F.coalesce(tiles, F.lit(1)).cast("long"))
+        cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        rows = cut.select("key", "node", "fp", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"))
+    radius = radius_of(similarity, 64 * lanes)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows < BUCKET:
+                continue
+            key, tile = held.column("key").to_numpy(), held.column("tile").to_numpy()
+            other = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
+            n = int(other[-1]) + 1 if len(other) else 0
+            if n:
+                yield from links(held.slice(0, n))
+                held = held.slice(n)
+        if held is not None and held.num_rows:
+            yield from links(held)
+
+    def links(rows):
+        key, tile, node = (rows.column(c).to_numpy() for c in ("key", "tile", "node"))
+        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+        many = np.bincount(group)[group] > 1
+        if many.any():
+            fps = np.frombuffer(b"".join(rows.column("fp").filter(pa.array(many)).to_pylist()), np.uint64).reshape(-1, lanes)
+            node, found = node[many], bucket_links(fps, group[many], radius)
+            if found:
+                a, b = np.array(found).T
+                yield to_batch(LINK, a=node[a], b=node[b])
+
+    dealt = rows.repartition(width(docs), "key", "tile").sortWithinPartitions("key", "tile")
+    joined = components(dealt.mapInArrow(run, "a long, b long"))
+    named = nodes.select("fp", "node").join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return sketches.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+
+
+def first_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that have a near copy of smaller doc_id. Rows without an id stay."""
+    copies = similar_documents(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), 3, 2)

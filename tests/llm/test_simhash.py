@@ -92,3 +92,38 @@ def test_chain_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 101)}, 201: 200}
+
+
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_similar_texts_are_grouped_and_others_are_not(spark, monkeypatch, bucket):
+    monkeypatch.setattr(m, "BUCKET", bucket)
+    rng = random.Random(9)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(120, 400))]
+        for edits in (0, 0, 1, 2, rng.randint(20, 60)):
+            text = base[:]
+            for _ in range(edits):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows) * 3 + 1, " ".join(text)))
+    rows += [(1000, None), (1001, ""), (1002, "a b")]
+    sets = {i: shingles(t) for i, t in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    sure = brute_components(sets, lambda a, b: near(a, b) >= 0.84)
+    most = brute_components(sets, lambda a, b: near(a, b) >= 0.75)
+    df = table(spark, rows)
+    got = {r["doc_id"]: r["component_id"] for r in m.similar_documents(df).collect()}
+    for a in sets:
+        for b in sets:
+            if sure[a] == sure[b]:
+                assert got[a] == got[b]
+            if got[a] == got[b]:
+                assert most[a] == most[b]
+    kept = {r["doc_id"] for r in m.first_of_each_group(df).collect()}
+    assert kept == set(got.values()) and m.first_of_each_group(df).columns == df.columns
+    assert m.first_of_each_group(table(spark, [])).count() == 0
