@@ -14,7 +14,7 @@ from array import array
 from collections.abc import Callable, Sequence
 
 #: Chunks held by one memo; beyond that it starts again.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 600_000
 
 # A Latin word, then ASCII marks other than the apostrophe: two pre-tokens, or one.
 _WORD = re.compile("([a-zà-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
