@@ -78,7 +78,7 @@ def dump_table(rows: DataFrame, generation: int, base_gen: int = 0, kind: int =
     parts = F.pmod(F.xxhash64("feat_id"), F.ceil(F.col("n") / rows_per_file)).cast("int")
     dealt = rows.join(F.broadcast(counts), "dim").withColumn("part", parts)
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         dim, part = (k.as_py() for k in key)
         ids = table.column("feat_id").to_numpy()
         vectors = table.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim)
