@@ -36,13 +36,13 @@ def width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each slice holds about SLICE_BYTES of text; no row is split."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each slice holds about ``most`` bytes of text; no row is split."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size.astype(np.int64)) // SLICE_BYTES
+        part = np.cumsum(size.astype(np.int64)) // most
         cuts = np.flatnonzero(np.diff(part)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo)

@@ -22,7 +22,9 @@ from embspark.llm.common import encoded, slices, to_batch, width
 #: An anchor found more often than this is not one group: its windows are compared by their full hash.
 HOT = 20_000
 #: Tokens hashed at once; positions among them take POSITION bits of an anchor's rank.
-STEP, POSITION = 1 << 22, 23
+STEP, POSITION = 1 << 20, 22
+#: Bytes of text that a task turns into tokens at once.
+TEXT_BYTES = 2 << 20
 #: Windows compared at once (a group is never cut).
 CHUNK = 300_000
 
@@ -113,7 +115,7 @@ class Stretches:
 
 def anchor_table(docs: DataFrame, unit: Unit) -> DataFrame:
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=TEXT_BYTES):
             texts = [unit.tokens(t) for t in encoded(part.column("text"))]
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             ends = np.cumsum([len(t) for t in texts])
@@ -123,8 +125,11 @@ def anchor_table(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long, start long, n int, at int")
 
 
-def stretch_table(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
-    """The stretches of text around anchors that occur more than once; windows of hot anchors one by one, by hash."""
+def stretch_table(docs: DataFrame, anchors: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
+    """The stretches of text around anchors that occur more than once; windows of hot anchors one by one, by hash.
+
+    ``n`` -1: not a stretch but a range of the text, from ``start`` to ``whole``, that goes by its own repeats.
+    """
     seen = F.count("*").over(Window.partitionBy("anchor"))
     again = anchors.withColumn("seen", seen).where("seen > 1")
     again = again.select("doc_id", F.struct("anchor", "start", "n", "at", (F.col("seen") > HOT).alias("hot")).alias("r"))
@@ -132,18 +137,33 @@ def stretch_table(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
     length = unit.length
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=TEXT_BYTES):
             out = []
             for doc, text, runs in zip(part.column("doc_id").to_pylist(), encoded(part.column("text")), part.column("runs").to_pylist(), strict=True):
                 packed, hashes = unit.packed(text), None
-                for r in runs:
+                seen: dict[tuple, tuple[int, bool]] = {}
+                last = -1
+                for r in sorted(runs, key=lambda r: r["start"]):
                     s, n = r["start"], r["n"]
+                    if s == last:  # from a repeated row of the table
+                        continue
+                    last = s
+                    tokens = packed[s : s + n + length - 1]
+                    # a stretch that the same text has already is settled here: it goes, and need not travel
+                    key = (r["anchor"], n, r["at"], tokens)
+                    if key in seen:
+                        first, told = seen[key]
+                        for at in (s,) if keep_first or told else (first, s):
+                            out.append((doc + at, doc, at, -1, 0, at + n + length - 1, b""))
+                        seen[key] = (first, True)
+                        continue
+                    seen[key] = (s, False)
                     if r["hot"]:
                         if hashes is None:
                             hashes = run_hashes(unit.tokens(text), length).view(np.int64)
                         out += [(r["anchor"], doc, s + i, 1, r["at"] - i, int(hashes[s + i]), b"") for i in range(n)]
                     else:
-                        out.append((r["anchor"], doc, s, n, r["at"], 0, packed[s : s + n + length - 1]))
+                        out.append((r["anchor"], doc, s, n, r["at"], 0, tokens))
                 if len(out) > 50_000:
                     yield to_batch(STRETCH, **dict(zip(STRETCH.names, zip(*out, strict=True), strict=True)))
                     out = []
@@ -253,12 +273,19 @@ def removed_spans(docs: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
 
     ``docs(doc_id, text)`` without null ids. Earlier means a smaller id, or an earlier start in the same text.
     """
-    stretches = stretch_table(docs, anchor_table(docs, unit), unit)
+    stretches = stretch_table(docs, anchor_table(docs, unit), unit, keep_first)
     dealt = stretches.repartition(width(docs), "anchor", "whole").sortWithinPartitions("anchor", "whole", "doc_id", "start")
 
     def run(batches):
         cold, hot = Cold(unit, keep_first), Hot(unit.length, keep_first)
         for b in batches:
+            own = pa.compute.less(b.column("n"), 0)
+            if pa.compute.any(own).as_py():
+                ready = b.filter(own)
+                yield spans(*(ready.column(c).to_numpy() for c in ("doc_id", "start", "whole")))
+                b = b.filter(pa.compute.invert(own))
+            if not b.num_rows:
+                continue
             bare = pa.compute.equal(pa.compute.binary_length(b.column("tokens")), 0)
             if one := pa.compute.sum(bare).as_py():
                 yield hot.push(b.filter(bare))
