@@ -358,7 +358,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < BUCKET:
+            if held.num_rows < 8 * BUCKET:
                 continue
             key, tile = held.column("key").to_numpy(), held.column("tile").to_numpy()
             other = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
