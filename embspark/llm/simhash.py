@@ -22,6 +22,8 @@ ROW_DDL = "mask long, key long, fp long, node long, level int, other long"
 BUCKET = 4096
 #: Bit planes that are summed between two looks at which blocks are still within the radius.
 PLANES = 8
+#: Blocks of 64 pairs compared at once.
+BLOCKS = 8192
 FULL = (1 << 64) - 1
 #: For a byte, a word whose bytes are the byte's bits; up to 255 of them add up without overflow.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -75,37 +77,46 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view("<u8")
 
 
-def within(planes: np.ndarray, lag: int, alive: np.ndarray, radius: int) -> np.ndarray:
-    """Words of a bit mask: set where rows i and i + lag differ in ``radius`` bits at most; ``alive`` are those to look at.
+def csa(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save adder: bitwise sum of three, as carries and ones."""
+    odd = a ^ b
+    return (a & b) | (odd & c), odd ^ c
+
+
+def near_words(planes: np.ndarray, at: np.ndarray, lags: np.ndarray, alive: np.ndarray, radius: int) -> np.ndarray:
+    """For each block (word ``at`` of the planes, a lag, bits of the rows to look at): bits set where rows i and i + lag differ in ``radius`` bits at most.
 
-    The differing bits of all planes are added up in carry-save bitwise counters; a block
-    (word) leaves as soon as all of its rows are beyond the radius.
+    The differing bits of all planes are added up in carry-save bitwise counters, eight planes
+    at a time and for many lags at once; a block leaves as soon as all of its rows are beyond the radius.
     """
-    words, shift = divmod(lag, 64)
     n = planes.shape[1]
-    out = np.zeros(n, np.uint64)
-    live = np.flatnonzero(alive)
-    still = alive[live]
-    ahead = np.minimum(live + words, n - 1)
+    out = np.zeros(len(at), np.uint64)
+    live, still = np.arange(len(at)), alive
+    ahead = np.minimum(at + lags // 64, n - 1)
     after = np.minimum(ahead + 1, n - 1)
-    bits = max(1, radius.bit_length() + 1)
-    counters = [np.zeros(len(live), np.uint64) for _ in range(bits)]
-    over = np.zeros(len(live), np.uint64)
+    shift = (lags % 64).astype(np.uint64)
+    back, one = np.uint64(63) - shift, np.uint64(1)
+    counters = [np.zeros(len(at), np.uint64) for _ in range(max(3, radius.bit_length() + 1))]
+    over = np.zeros(len(at), np.uint64)
     for first in range(0, len(planes), PLANES):
-        for k in range(first, first + PLANES):
-            p = planes[k]
-            moved = p[ahead]
-            if shift:
-                moved = (moved >> np.uint64(shift)) | (p[after] << np.uint64(64 - shift))
-            carry = p[live] ^ moved
-            for c in counters:
-                c ^= carry
-                carry = carry & ~c
-            over |= carry
-        still &= ~(over | beyond(counters, radius))
+        d = [p[at] ^ ((p[ahead] >> shift) | ((p[after] << one) << back)) for p in planes[first : first + PLANES]]
+        ones, twos, fours, *higher = counters
+        a, ones = csa(ones, d[0], d[1])
+        b, ones = csa(ones, d[2], d[3])
+        c, twos = csa(twos, a, b)
+        a, ones = csa(ones, d[4], d[5])
+        b, ones = csa(ones, d[6], d[7])
+        e, twos = csa(twos, a, b)
+        carry, fours = csa(fours, c, e)
+        for x in higher:
+            x ^= carry
+            carry = carry & ~x
+        over |= carry
+        counters = [ones, twos, fours, *higher]
+        still = still & ~(over | beyond(counters, radius))
         keep = still != 0
         if not keep.all():
-            live, still, ahead, after, over = live[keep], still[keep], ahead[keep], after[keep], over[keep]
+            live, still, at, ahead, after, shift, back, over = (x[keep] for x in (live, still, at, ahead, after, shift, back, over))
             counters = [c[keep] for c in counters]
         if not len(live):
             return out
@@ -113,6 +124,14 @@ def within(planes: np.ndarray, lag: int, alive: np.ndarray, radius: int) -> np.n
     return out
 
 
+def within(planes: np.ndarray, lag: int, alive: np.ndarray, radius: int) -> np.ndarray:
+    """Words of a bit mask: set where rows i and i + lag differ in ``radius`` bits at most; ``alive`` are those to look at."""
+    out = np.zeros(planes.shape[1], np.uint64)
+    at = np.flatnonzero(alive)
+    out[at] = near_words(planes, at, np.full(len(at), lag), alive[at], radius)
+    return out
+
+
 def beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
     """Bitwise: counter > radius, most significant bit first."""
     more = np.zeros_like(counters[0])
@@ -144,38 +163,61 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
         return i != j
 
+    def roots(self) -> np.ndarray:
+        up = np.array(self.up, np.int64)
+        while (up[up] != up).any():
+            up = up[up]
+        return up
+
+
+def lag_blocks(group: np.ndarray, tree: np.ndarray, lags: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Words, lags and bits of the pairs to compare, of one group but two trees, for as many ``lags`` as make up BLOCKS; the next lag."""
+    words, own, alive, held, lag = [], [], [], 0, lags.start
+    for lag in lags:
+        pairs = (group[lag:] == group[:-lag]) & (tree[lag:] != tree[:-lag])
+        bits = np.packbits(pairs, bitorder="little")
+        bits = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view("<u8")
+        at = np.flatnonzero(bits)
+        words.append(at)
+        own.append(np.full(len(at), lag))
+        alive.append(bits[at])
+        held += len(at)
+        if held >= BLOCKS:
+            break
+    return np.concatenate(words), np.concatenate(own), np.concatenate(alive), lag + 1
+
 
 def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (i, j) of equal ``group`` (rows sorted by it) within the radius."""
+    """A spanning forest of the pairs (i, j) of equal ``group`` (rows sorted by it) within the radius.
+
+    All pairs of a group are compared but those whose rows one tree holds already.
+    """
     out, forest = [], Forest(len(fps))
     if not len(fps):
         return out
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
-    kept, base, lag = None, None, 1
+    kept, lag, end, tree = None, 1, 1, np.arange(len(fps))
     while True:
-        if kept is None or lag & (lag - 1) == 0:  # again and again only the rows of large enough buckets
-            roots = np.array([forest.root(i) for i in range(len(fps))]) if out else np.arange(len(fps))
+        if lag == end:  # again and again only the rows of large enough buckets
             # a bucket that is one tree has nothing more to say
-            big = (sizes > lag) & (np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts))
+            big = (sizes > lag) & (np.minimum.reduceat(tree, starts) != np.maximum.reduceat(tree, starts))
             if not big.any():
                 return out
             kept = np.flatnonzero(np.repeat(big, sizes))
-            base = planes_of(fps[kept])
-            own = group[kept]
+            base, own, end = planes_of(fps[kept]), group[kept], 2 * lag
         if lag >= len(kept):
             return out
-        same = np.zeros(base.shape[1] * 64, np.uint8)
-        same[: len(kept) - lag] = own[lag:] == own[:-lag]
-        if not same.any():
-            return out
-        mask = within(base, lag, np.packbits(same, bitorder="little").view("<u8"), radius)
-        if mask.any():
-            for i in np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")).tolist():
-                a, b = int(kept[i]), int(kept[i + lag])
+        at, lags, alive, lag = lag_blocks(own, tree[kept], range(lag, min(end, len(kept))))
+        found = near_words(base, at, lags, alive, radius)
+        some = np.flatnonzero(found)
+        if len(some):
+            k, bit = np.nonzero(np.unpackbits(found[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            first = 64 * at[some[k]] + bit
+            for a, b in zip(kept[first].tolist(), kept[first + lags[some[k]]].tolist(), strict=True):
                 if forest.link(a, b):
                     out.append((a, b))
-        lag += 1
+            tree = forest.roots()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bool]]:
