@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embspark.llm.common import encoded, slices, to_batch, width
@@ -130,8 +130,9 @@ def stretch_table(docs: DataFrame, anchors: DataFrame, unit: Unit, keep_first: b
 
     ``n`` -1: not a stretch but a range of the text, from ``start`` to ``whole``, that goes by its own repeats.
     """
-    seen = F.count("*").over(Window.partitionBy("anchor"))
-    again = anchors.withColumn("seen", seen).where("seen > 1")
+    # counts are summed before they are shuffled; rows of a common anchor are a skewed join, which adaptive execution splits
+    counts = anchors.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1")
+    again = anchors.join(counts.hint("merge"), "anchor")
     again = again.select("doc_id", F.struct("anchor", "start", "n", "at", (F.col("seen") > HOT).alias("hot")).alias("r"))
     again = again.groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
     length = unit.length
