@@ -52,38 +52,18 @@ def _line_key(line: Column, host: Column) -> Column:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, host, key, before, after, whole, words``: each line with a word.
-
-    ``whole`` stands for the document's text, ``before`` and ``after`` for the lines next
-    to it, or for the text where there is none.
-    """
+    """``doc_id, document, key, words``: each line with a word; ``document`` is the id, or stands for the text of a row without one."""
     keyed = docs.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("whole"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-    ).where(F.size("lines") > 0)
-    keyed = keyed.withColumn("keys", F.transform("lines", lambda x: _line_key(x, F.col("host"))))
-    one = F.transform(
-        F.arrays_zip("keys", "lines"),
-        lambda x, i: F.struct(
-            x["keys"].alias("key"),
-            F.coalesce(F.get("keys", i - 1), F.col("whole")).alias("before"),
-            F.coalesce(F.get("keys", i + 1), F.col("whole")).alias("after"),
-            F.size(F.split(F.trim(x["lines"]), r"[\x20\x09-\x0D]+")).alias("words"),
-        ),
-    )
-    return keyed.select("doc_id", "host", "whole", F.explode(one).alias("l")).select("doc_id", "host", "whole", "l.*")
+        "doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("document"), F.coalesce("source", F.lit("")).alias("host"),
+        F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("line"),
+    )
+    words = F.size(F.split(F.trim("line"), r"[\x20\x09-\x0D]+")).alias("words")
+    return keyed.select("doc_id", "document", _line_key(F.col("line"), F.col("host")).alias("key"), words)
 
 
 def common_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """``key`` of the lines found in more than ``max_docs`` different documents of one host.
-
-    Documents with the same text count once, and a line counts only if both the lines
-    before it and those after it differ for at least half of its documents: whole documents that were
-    copied and edited are for the near-duplicate operators, not for this rule.
-    """
-    seen = lines.groupBy("key").agg(*(F.countDistinct(c).alias(f"n_{c}") for c in ("whole", "before", "after")))
-    alone = 2 * F.least("n_before", "n_after") >= F.col("n_whole")
-    return seen.where((F.col("n_whole") > max_docs) & alone).select("key")
+    """``key`` of the lines found in more than ``max_docs`` different documents of one host."""
+    return lines.groupBy("key").agg(F.countDistinct("document").alias("n")).where(F.col("n") > max_docs).select("key")
 
 
 def removed_lines(docs: DataFrame, max_docs: int = 20) -> DataFrame:
@@ -108,7 +88,7 @@ def quality_rules(
     of the words in repeated three-word windows. Line rule: lines are trimmed,
     lower-cased, white space made single, hashed with their host (``source``), and the
     different documents of each are counted over all documents; lines above
-    ``max_docs`` go (see ``common_lines``), and a document that loses over
+    ``max_docs`` go, whatever stands next to them, and a document that loses over
     ``max_removed_percent`` % of its words is rejected.
 
     Null or empty text: no words, so base_failed. Null source: one host of its own.

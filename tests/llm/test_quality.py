@@ -60,5 +60,33 @@ def test_cleaned_documents_keep_their_columns(spark):
     assert 90 not in got and None in got and 2 not in got
 
 
+@pytest.mark.parametrize("n_lines", [1, 2, 3])
+@pytest.mark.parametrize("at_end", [True, False])
+def test_blocks_of_common_lines_go_by_their_count_alone(spark, n_lines, at_end):
+    block = [f"Notice {k} of all pages here" for k in range(n_lines)]
+
+    def text(i, size):
+        body = [" ".join(f"w{i}x{j}" for j in range(size))]
+        return "\n\n".join(body + block if at_end else block + body)
+
+    rows = [(3 * i, text(i, 60)) for i in range(21)] + [(3 * i + 1, text(i, 60)) for i in range(100, 120)]
+    rows += [(3 * i + 2, text(200, 60)) for i in range(21)]  # exact copies are documents too
+    rows += [(3 * i + 2, text(i, 60)) for i in range(300, 301)] + [(0, text(0, 60))]
+    got = {r["doc_id"]: r["n_removed_words"] for r in quality_rules(table(spark, rows[:-1])).collect()}
+    for i in got:
+        assert got[i] == {0: 6 * n_lines, 1: 0, 2: 60 + 6 * n_lines if i < 300 else 6 * n_lines}[i % 3]
+    again = quality_rules(table(spark, [r for r in rows[:20] + rows[-1:]])).collect()  # an id that is repeated counts once
+    assert len(again) == 21 and all(r["n_removed_words"] == 0 for r in again)
+    cleaned = clean_texts(table(spark, rows)).collect()
+    assert all(("Notice" in r["text"]) == (r["doc_id"] % 3 == 1) for r in cleaned)
+
+
+def test_documents_made_mostly_of_a_block_are_rejected(spark):
+    block = "\n".join(" ".join(f"b{k}y{j}" for j in range(40)) for k in range(2))
+    rows = [(3 * i, " ".join(f"w{i}x{j}" for j in range(20)) + "\n" + block) for i in range(21)]
+    got = quality_rules(table(spark, rows)).collect()
+    assert all(r["n_removed_words"] == 80 and not r["kept"] and not r["base_failed"] for r in got)
+
+
 def test_empty_table(spark):
     assert quality_rules(table(spark, [])).count() == 0
