@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +20,10 @@ ROW = pa.schema([("mask", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()),
 ROW_DDL = "mask long, key long, fp long, node long, level int, other long"
 #: A bucket with more fingerprints than this is split by further bits, unless few bits are left.
 BUCKET = 4096
+#: Rows of one part of a group of candidates whose sets are compared; rows of candidates that are broadcast at most (about 200 bytes each).
+TILE, BROADCAST_ROWS = 1024, 100_000
+#: Bytes of rows with sets that are held at once, if no tile is larger.
+SET_BYTES = 64 << 20
 #: Bit planes that are summed between two looks at which blocks are still within the radius.
 PLANES = 8
 #: Blocks of 64 pairs compared at once.
@@ -187,8 +191,8 @@ def lag_blocks(group: np.ndarray, tree: np.ndarray, lags: range) -> tuple[np.nda
     return np.concatenate(words), np.concatenate(own), np.concatenate(alive), lag + 1
 
 
-def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (i, j) of equal ``group`` (rows sorted by it) within the radius.
+def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int, confirm: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (i, j) of equal ``group`` (rows sorted by it) within the radius, and confirmed.
 
     All pairs of a group are compared but those whose rows one tree holds already.
     """
@@ -215,7 +219,8 @@ def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[
             k, bit = np.nonzero(np.unpackbits(found[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             first = 64 * at[some[k]] + bit
             for a, b in zip(kept[first].tolist(), kept[first + lags[some[k]]].tolist(), strict=True):
-                if forest.link(a, b):
+                if forest.root(a) != forest.root(b) and (confirm is None or confirm(a, b)):
+                    forest.link(a, b)
                     out.append((a, b))
             tree = forest.roots()
 
@@ -328,7 +333,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return prints.join(named, "fp", "left").select("doc_id", text, "component_id")
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64())), ("digest", pa.int64())])
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -342,14 +347,18 @@ def lane_hashes(hashes: np.ndarray, lanes: int) -> Iterator[np.ndarray]:
         yield h
 
 
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each different shingle; a zero if there is no word."""
+    if not words:
+        return np.zeros(1, np.uint64)
+    join = b" ".join
+    grams = {join(words)} if len(words) <= shingle else set(map(join, zip(*(words[k:] for k in range(shingle)), strict=False)))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+
+
 def sketch(words: list[bytes], shingle: int, lanes: int, tables: int) -> tuple[bytes, list[int]]:
     """A wide fingerprint of the set of shingles, and keys: each table's least two hashes over the set, as one."""
-    if words:
-        join = b" ".join
-        grams = {join(words)} if len(words) <= shingle else set(map(join, zip(*(words[k:] for k in range(shingle)), strict=False)))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
-    else:
-        hashes = np.zeros(1, np.uint64)
+    hashes = shingle_hashes(words, shingle)
     at = np.arange(0, len(hashes), 255)
     bits = []
     keys = []
@@ -368,63 +377,133 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def candidate_radius(similarity: float, bits: int) -> int:
+    """Differing bits that two shingle sets of this similarity have at most, by six standard deviations."""
+    mean = radius_of(similarity, bits)
+    return round(mean + 6 * math.sqrt(mean * (1 - mean / bits)))
+
+
+def whole_tiles(batches: Iterator[pa.RecordBatch], key: str, full: Callable[[pa.Table], bool]) -> Iterator[pa.Table]:
+    """Rows sorted by ``key`` and tile, given out when ``full`` so that no tile is cut."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        if not full(held):
+            continue
+        group = tile_numbers(held, key)
+        n = int(np.searchsorted(group, group[-1]))
+        if n:
+            yield held.slice(0, n)
+            held = held.slice(n)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def tile_numbers(rows: pa.Table, key: str) -> np.ndarray:
+    keys, tile = rows.column(key).to_numpy(), rows.column("tile").to_numpy()
+    return np.cumsum(np.r_[True, (keys[1:] != keys[:-1]) | (tile[1:] != tile[:-1])])
+
+
+def with_parts(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` with ``parts``: into how many parts the rows of equal ``key`` are cut so that none is much above ``most`` rows."""
+    sizes = checkpoint(rows.groupBy(key).count().where(F.col("count") > most))
+    if sizes.isEmpty():
+        return rows.withColumn("parts", F.lit(1).cast("long"))
+    return rows.join(sizes, key, "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / most), F.lit(1)).cast("long")).drop("count")
+
+
+def in_tiles(rows: DataFrame) -> DataFrame:
+    """Each row with each pair of parts that its ``own`` is in, as ``tile``; ``cross`` if the two differ."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tile = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+    return rows.withColumn("tile", tile).withColumn("cross", F.col("own") != F.col("other")).drop("parts", "other")
+
+
+def similar_sets(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """``a, b``: links by the exact similarity of the shingle sets; ``groups(node, digest, fp, component)``.
+
+    The pairs of a component within ``radius`` are compared set by set, but those that
+    confirmed links connect already; components above TILE rows are compared in tiles.
+    """
+    chosen = checkpoint(with_parts(checkpoint(groups), "component", TILE))
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    texts = docs.select("doc_id", "text").join(chosen, (F.col("doc_id") == F.col("node")) & (F.xxhash64("text") == F.col("digest")))
+    schema = pa.schema([("component", pa.int64()), ("node", pa.int64()), ("parts", pa.int64()), ("fp", pa.binary()), ("hashes", pa.binary())])
+
+    def draw(batches):
+        for part in slices(batches):
+            sets = [np.unique(shingle_hashes(t.lower().split(), shingle)).tobytes() for t in encoded(part.column("text"))]
+            yield to_batch(schema, **{c: part.column(c) for c in schema.names[:4]}, hashes=sets)
+
+    def run(batches):
+        for rows in whole_tiles(batches, "component", lambda held: held.nbytes > SET_BYTES):
+            node, own, cross = (rows.column(c).to_numpy() for c in ("node", "own", "cross"))
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+            fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(sets), -1)
+
+            def alike(i, j):
+                if cross[i] and own[i] == own[j]:  # a pair of another tile
+                    return False
+                small, large = sorted((len(sets[i]), len(sets[j])))
+                if small / large < similarity:
+                    return False
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                return both / (small + large - both) >= similarity
+
+            found = bucket_links(fps, tile_numbers(rows, "component"), radius, alike)
+            if found:
+                a, b = np.array(found).T
+                yield to_batch(LINK, a=node[a], b=node[b])
+
+    sets = texts.select("component", "node", "parts", "fp", "text").mapInArrow(draw, "component long, node long, parts long, fp binary, hashes binary")
+    dealt = in_tiles(sets).repartition(width(docs), "component", "tile").sortWithinPartitions("component", "tile", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 16, tables: int = 8) -> DataFrame:
     """``doc_id, component_id``: documents linked by a similarity of ``similarity`` or more of their sets of word shingles.
 
-    The similarity is read off wide fingerprints (64 bits for each of ``lanes``): at 1024
-    bits it is right to about 0.02. Pairs meet in a bucket if their least two hashes agree in
-    one of ``tables`` tables, which at 0.8 fails once in 3000 pairs. Buckets are compared bit-sliced; one
-    above BUCKET rows is cut into tiles, each pair of which is compared by itself.
+    Candidates are read off wide fingerprints (64 bits for each of ``lanes``), within a
+    radius six standard deviations beyond the similarity's; each link is then confirmed
+    by the exact Jaccard similarity of the sets of shingle hashes (64 bits). Candidates
+    meet in a bucket if their least two hashes agree in one of ``tables`` tables, which at
+    0.8 fails once in 3000 pairs. Buckets are compared bit-sliced; one above BUCKET rows is
+    cut into tiles, each pair of which is compared by itself.
     Texts without a word are one group; null ids take no part and have no row.
     """
 
     def draw(batches):
         for part in slices(batches):
             rows = [sketch(t.lower().split(), shingle, lanes, tables) for t in encoded(part.column("text"))]
-            yield to_batch(SKETCH, doc_id=part.column("doc_id"), fp=[r[0] for r in rows], keys=[r[1] for r in rows])
-
-    named = docs.where("doc_id is not null").select("doc_id", "text")
-    sketches = checkpoint(named.mapInArrow(draw, "doc_id long, fp binary, keys array<long>"))
-    nodes = sketches.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    rows = checkpoint(nodes.select(F.explode("keys").alias("key"), "node", "fp").withColumn("tile", F.lit(0).cast("long")))
-    sizes = checkpoint(rows.groupBy("key").count().where(F.col("count") > BUCKET))
-    if not sizes.isEmpty():
-        tiles = F.ceil(F.col("count") / BUCKET)
-        cut = rows.drop("tile").join(sizes, "key", "left").withColumn("tiles", F.coalesce(tiles, F.lit(1)).cast("long"))
-        cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        rows = cut.select("key", "node", "fp", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"))
-    radius = radius_of(similarity, 64 * lanes)
+            yield to_batch(SKETCH, doc_id=part.column("doc_id"), fp=[r[0] for r in rows], keys=[r[1] for r in rows], digest=part.column("digest"))
+
+    named = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    sketches = checkpoint(named.mapInArrow(draw, "doc_id long, fp binary, keys array<long>, digest long"))
+    nodes = sketches.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("n"), F.first("keys").alias("keys"))
+    nodes = nodes.select("fp", F.col("n.doc_id").alias("node"), F.col("n.digest").alias("digest"), "keys")
+    rows = checkpoint(nodes.select(F.explode("keys").alias("key"), "node", "fp"))
+    rows = in_tiles(with_parts(rows, "key", BUCKET)).select("key", "tile", "node", "fp")
+    radius = candidate_radius(similarity, 64 * lanes)
 
     def run(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 8 * BUCKET:
-                continue
-            key, tile = held.column("key").to_numpy(), held.column("tile").to_numpy()
-            other = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
-            n = int(other[-1]) + 1 if len(other) else 0
-            if n:
-                yield from links(held.slice(0, n))
-                held = held.slice(n)
-        if held is not None and held.num_rows:
-            yield from links(held)
-
-    def links(rows):
-        key, tile, node = (rows.column(c).to_numpy() for c in ("key", "tile", "node"))
-        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
-        many = np.bincount(group)[group] > 1
-        if many.any():
-            fps = np.frombuffer(b"".join(rows.column("fp").filter(pa.array(many)).to_pylist()), np.uint64).reshape(-1, lanes)
-            node, found = node[many], bucket_links(fps, group[many], radius)
-            if found:
-                a, b = np.array(found).T
-                yield to_batch(LINK, a=node[a], b=node[b])
+        for rows in whole_tiles(batches, "key", lambda held: held.num_rows >= 8 * BUCKET):
+            node, group = rows.column("node").to_numpy(), tile_numbers(rows, "key")
+            many = np.bincount(group)[group] > 1
+            if many.any():
+                fps = np.frombuffer(b"".join(rows.column("fp").filter(pa.array(many)).to_pylist()), np.uint64).reshape(-1, lanes)
+                node, found = node[many], bucket_links(fps, group[many], radius)
+                if found:
+                    a, b = np.array(found).T
+                    yield to_batch(LINK, a=node[a], b=node[b])
 
     dealt = rows.repartition(width(docs), "key", "tile").sortWithinPartitions("key", "tile")
-    joined = components(dealt.mapInArrow(run, "a long, b long"))
-    named = nodes.select("fp", "node").join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    near = checkpoint(components(dealt.mapInArrow(run, "a long, b long")))
+    # the least node of a component has no row of its own there
+    near = near.union(near.select(F.col("component").alias("node"), "component").distinct())
+    links = similar_sets(docs, nodes.drop("keys").join(near, "node"), shingle, similarity, radius)
+    named = nodes.select("fp", "node").join(components(links), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return sketches.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
 
 

@@ -127,3 +127,21 @@ def test_similar_texts_are_grouped_and_others_are_not(spark, monkeypatch, bucket
     kept = {r["doc_id"] for r in m.first_of_each_group(df).collect()}
     assert kept == set(got.values()) and m.first_of_each_group(df).columns == df.columns
     assert m.first_of_each_group(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_similar_texts_are_linked_by_the_exact_limit(spark, monkeypatch, tile):
+    monkeypatch.setattr(m, "TILE", tile)
+    rows, want = [], {}
+    for g in range(60):
+        # 100 shingles; the other text has the first 80 or 79 of them, or all but a few
+        base = [f"w{g}x{j}" for j in range(104)]
+        for left in (104, 84 if g % 2 else 83):
+            want[len(rows)] = 2 * g + (g % 2 == 0 and left == 83)
+            rows.append((len(rows), " ".join(base[:left])))
+    shared = [f"s{j}" for j in range(154)]
+    for k in range(60):  # one template, 150 shingles of 200 in common: none is a copy of another
+        want[len(rows)] = len(rows)
+        rows.append((len(rows), " ".join(shared + [f"t{k}x{j}" for j in range(25)])))
+    got = {r["doc_id"]: r["component_id"] for r in m.similar_documents(table(spark, rows)).collect()}
+    assert got == want
