@@ -209,6 +209,14 @@ def q16(spark, d):
     return layout.peephole_groups(pages)
 
 
+@query("q16b_peephole_all", f"""WITH {SLOTS},
+ l AS (SELECT *, CASE WHEN page - lag(page) OVER (PARTITION BY generation, dim ORDER BY page) <= 5 THEN 0 ELSE 1 END AS new FROM dirty),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY generation, dim ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM l)
+ SELECT generation, dim, min(page) AS pg_first, max(page) AS pg_last, count(*) AS n_pages FROM g GROUP BY generation, dim, g""")
+def q16b(spark, d):
+    return layout.peephole_groups(layout.dirty_pages(only_puts(spark, d)))
+
+
 @query("q17_step_budget", f"""WITH {SLOTS}, s AS (SELECT *, (row_number() OVER (PARTITION BY generation ORDER BY dim, page) - 1) // 64 AS step FROM dirty),
  n AS (SELECT *, CASE WHEN page - lag(page) OVER (PARTITION BY generation, step, dim ORDER BY page) = 1 THEN 0 ELSE 1 END AS new FROM s)
  SELECT generation, step, count(*) AS pages, sum(new)::BIGINT AS pieces FROM n GROUP BY generation, step""")
