@@ -1,4 +1,9 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces, one pass over each word."""
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives one Viterbi pass over each word.
+
+At every letter the automaton's output links give the pieces that end there, and each
+relaxes what is known of that place: the best sum of scores (``best``), or, for files
+that hold merges, the one last piece that merging allows (``ids``, as the library gives).
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +19,24 @@ from pyspark.sql import DataFrame, SparkSession
 from embspark.llm.common import documents, encoded, slices, to_batch
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
+BEST = pa.schema([*OUT, ("n_best_pieces", pa.int64()), ("best_crc32", pa.int64()), ("best_score", pa.float64())])
 SPACE = "▁"
-#: Words and neighbours of pieces that are remembered.
-MEMO_ENTRIES, PAIR_ENTRIES = 500_000, 500_000
+#: Letters of words that are remembered, at most, bytes of a memo (an entry takes about ENTRY_BYTES beside its letters and ids), neighbours of pieces remembered.
+REMEMBERED, MEMO_BYTES, ENTRY_BYTES, PAIR_ENTRIES = 32, 96 << 20, 350, 200_000
+#: Ids decoded at once.
+DECODED = 1 << 20
 #: No piece goes on after a space mark has ended a word, so texts are encoded word by word.
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+Codes = tuple[bytes, bytes, float]
+
 
 class PieceCoder:
-    """ids of a model file, as its library gives them without begin or end.
+    """ids of a model file, as its library gives them without begin or end, and the path with the best sum of its scores.
 
-    ``kind`` "unigram": the path with the best sum of scores. ``kind`` "bpe": merges are
-    not a best sum, but whether two pieces may stand side by side depends on the two
-    alone, and every prefix of a word has one valid last piece; the same pass finds it.
+    ``kind`` "unigram": the two are one. ``kind`` "bpe": merges are not a best sum, but
+    whether two pieces may stand side by side depends on the two alone, and every prefix
+    of a word has one valid last piece; a second pass of the same automaton finds it.
     """
 
     def __init__(self, path: str, kind: str = "bpe"):
@@ -52,11 +63,13 @@ class PieceCoder:
                 self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
         self.unknown, self.kind = model.unk_id(), kind
+        #: what a letter without a piece costs
         self.least = min(self.score.values(), default=0) - 10
         #: two letters between which some piece goes on; elsewhere words can be cut
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.memo: dict[str, Codes] = {}
+        self.parts: dict[str, Codes] = {}
+        self.held = {"memo": 0, "parts": 0}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
 
@@ -83,98 +96,130 @@ class PieceCoder:
         self.pairs.setdefault(left, {})[right] = ok
         return ok
 
-    def pieces(self, word: str) -> list[str]:
-        """One pass over a word of known letters: at each place the pieces that end there, along the output links, extend what is known."""
-        n = len(word)
-        last: list[str | None] = [None] * (n + 1)
-        if self.kind == "bpe":
-            last[0] = ""
-            for end, (size, piece) in self.automaton.iter(word):
-                end += 1
-                if last[end] is None and (before := last[end - size]) is not None:
-                    known = self.pairs.get(before)
-                    ok = known.get(piece) if known else None
-                    if ok or ok is None and self.side_by_side(before, piece):
-                        last[end] = piece
-        else:
-            best = [0.0] + [float("-inf")] * n
-            for end, (size, piece) in self.automaton.iter(word):
-                end += 1
-                if (score := best[end - size] + self.score[piece]) > best[end]:
-                    best[end], last[end] = score, piece
-        out, at = [], n
+    def merging(self, word: str) -> bytearray:
+        """Length of the last piece of each prefix that merging allows (0: none)."""
+        last = bytearray(len(word) + 1)
+        pairs = self.pairs
+        for end, (size, piece) in self.automaton.iter(word):
+            end += 1
+            at = end - size
+            if not last[end] and (last[at] or not at):
+                before = word[at - last[at] : at]
+                known = pairs.get(before)
+                ok = known.get(piece) if known else None
+                if ok or ok is None and self.side_by_side(before, piece):
+                    last[end] = size
+        return last
+
+    def best(self, word: str) -> tuple[bytearray, float]:
+        """Length of the last piece of each prefix on its path with the best sum of scores; the whole word's sum."""
+        last, score = bytearray(len(word) + 1), self.score
+        best = array("d", [float("-inf")]) * (len(word) + 1)
+        best[0] = 0.0
+        for end, (size, piece) in self.automaton.iter(word):
+            end += 1
+            if (s := best[end - size] + score[piece]) > best[end]:
+                best[end], last[end] = s, size
+        return last, best[len(word)]
+
+    def pieces(self, word: str, last: bytearray | None = None) -> list[str]:
+        """The pieces that ``last`` leads back along (none given: those of ``kind``)."""
+        if last is None:
+            last = self.merging(word) if self.kind == "bpe" else self.best(word)[0]
+        out, at = [], len(word)
         while at:
-            piece = last[at]
-            if not piece:
-                raise ValueError(f"no piece ends at letter {at} of {word!r}")
-            out.append(piece)
-            at -= len(piece)
+            if not last[at]:
+                raise ValueError(f"no piece ends at letter {at} of {word[:80]!r}")
+            out.append(word[at - last[at] : at])
+            at -= last[at]
         return out[::-1]
 
-    def part(self, text: str) -> bytes:
+    def part(self, text: str) -> Codes:
         if len(text) == 1 and text not in self.score:
-            return array("I", [self.bytes[b] for b in text.encode()] if self.bytes else [self.unknown]).tobytes()
-        return array("I", [self.ids[p] for p in self.pieces(text)]).tobytes()
-
-    def word(self, word: str) -> bytes:
+            ids = array("I", [self.bytes[b] for b in text.encode()] if self.bytes else [self.unknown]).tobytes()
+            return ids, ids, self.least
+        coded = lambda last: array("I", map(self.ids.__getitem__, self.pieces(text, last))).tobytes()
+        last, score = self.best(text)
+        best = coded(last)
+        return (coded(self.merging(text)) if self.kind == "bpe" else best), best, score
+
+    def remembered(self, name: str, text: str, code: Callable[[str], Codes]) -> Codes:
+        memo = getattr(self, name)
+        found = memo.get(text)
+        if found is None:
+            found = code(text)
+            if len(text) <= REMEMBERED:
+                self.held[name] += 4 * len(text) + 2 * len(found[0]) + ENTRY_BYTES
+                if self.held[name] > MEMO_BYTES:
+                    memo.clear()
+                    self.held[name] = 0
+                memo[text] = found
+        return found
+
+    def word(self, word: str) -> Codes:
         """Cut where no piece goes on (so around letters without a piece too), then part by part."""
-        inside, parts, out, at = self.inside, self.parts, [], 0
+        inside, out, at = self.inside, [], 0
         for i in range(1, len(word) + 1):
             if i == len(word) or word[i - 1 : i + 1] not in inside:
-                text = word[at:i]
-                ids = parts.get(text)
-                if ids is None:
-                    if len(parts) >= MEMO_ENTRIES:
-                        parts.clear()
-                    ids = parts[text] = self.part(text)
-                out.append(ids)
+                out.append(self.remembered("parts", word[at:i], self.part))
                 at = i
-        return b"".join(out)
+        return joined(out)
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def codes(self, text: str) -> Codes:
+        """Little-endian unsigned 32-bit ids, those of the best path, and its score."""
         if not text:
-            return b""
+            return b"", b"", 0.0
         words = _WORD.findall(SPACE + text.replace(" ", SPACE))
         memo = self.memo
         try:
-            return b"".join([memo[w] for w in words])
+            return joined([memo[w] for w in words])
         except KeyError:
-            if len(memo) >= MEMO_ENTRIES:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = self.word(w)
-            return b"".join([memo[w] for w in words])
+            return joined([self.remembered("memo", w, self.word) for w in words])
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        return self.codes(text)[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        text = b"".join(map(self.spelt.__getitem__, memoryview(ids).cast("I")))
+        view, spell = memoryview(ids).cast("I"), self.spelt.__getitem__
+        text = b"".join([b"".join(map(spell, view[at : at + DECODED])) for at in range(0, len(view), DECODED)])
         return (text[1:] if text[:1] == b" " else text).decode(errors="replace")
 
 
-def piece_codes(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
-    """``doc_id, n_bytes, n_pieces, ids_crc32, decoded_sha256, round_trip`` for each row of ``docs(doc_id, text, ...)``.
+def joined(parts: list[Codes]) -> Codes:
+    if len(parts) == 1:
+        return parts[0]
+    return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), sum([p[2] for p in parts])
+
 
-    The checksum is over the ids as little-endian unsigned 32-bit numbers; the digest is of the
-    decoded text, and ``round_trip`` says that it is the text itself. Null or empty text: no
-    pieces. Null ids and repeated rows give a row each. No shuffle; whole texts.
+def piece_codes(docs: DataFrame, path: str, kind: str = "bpe", best: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, n_pieces, ids_crc32, decoded_sha256, round_trip`` for each row of ``docs(doc_id, text, ...)``; with ``best`` also ``n_best_pieces, best_crc32, best_score``.
+
+    The first checksum is over the library's ids as little-endian unsigned 32-bit numbers; the
+    digest is of the text decoded from them, and ``round_trip`` says that it is the text itself.
+    Those of ``best`` are of the path with the best sum of the file's scores (a letter without
+    a piece costs the least score less 10), whose ids decode to the same text. Null or empty
+    text: no pieces, score 0. Null ids and repeated rows give a row each. No shuffle; whole texts.
     """
 
+    schema = BEST if best else OUT
+    ddl = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", n_best_pieces long, best_crc32 long, best_score double" * best
+
     def run(batches):
         coder = PieceCoder(path, kind)
         for part in slices(batches):
-            rows = []
+            rows: list[tuple] = []
             for doc, raw in zip(part.column("doc_id").to_pylist(), encoded(part.column("text")), strict=True):
-                ids = coder.encode(raw.decode())
+                ids, path_ids, score = coder.codes(raw.decode())
                 back = coder.decode(ids).encode()
-                rows.append((doc, len(raw), len(ids) >> 2, zlib.crc32(ids), hashlib.sha256(back).hexdigest(), back == raw))
-            yield to_batch(OUT, **dict(zip(OUT.names, zip(*rows, strict=True), strict=True)))
+                rows.append((doc, len(raw), len(ids) >> 2, zlib.crc32(ids), hashlib.sha256(back).hexdigest(), back == raw, len(path_ids) >> 2, zlib.crc32(path_ids), score))
+            yield to_batch(schema, **{n: [r[k] for r in rows] for k, n in enumerate(schema.names)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return piece_codes(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_codes(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), best=True)

@@ -78,3 +78,31 @@ def test_plans_use_the_histogram_up():
                 for x, m in pattern:
                     used[x] += n * m
             assert (used == held).all()
+
+
+def test_long_runs_without_white_space_equal_the_library_in_bounded_memory(library, monkeypatch):
+    import random
+
+    import embspark.llm.subwords as m
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("日本語漢字かなのですカタ、。", k=9000)), "".join(rng.choices("abcdefghijklmnop0123456789+/'=", k=20000)), "été" * 7000, "e\u0301" * 9000, "x<|endoftext|>y" * 2000]
+    monkeypatch.setattr(m, "LONG", 500)
+    monkeypatch.setattr(m, "MEMO_BYTES", 20000)
+    coder = m.WordEncoder(PATH)
+    for t in [*texts, *(x or "" for _, x in sample(20))]:
+        assert np.frombuffer(coder.encode([t.encode()])[0], "<u4").tolist() == library(t)
+        assert coder.memo.held <= 20000 and all(len(c) <= m.REMEMBERED for c in coder.memo)
+
+
+def test_counts_with_small_memos_and_batches(spark, library, monkeypatch):
+    import embspark.llm.subwords as limits
+    import embspark.llm.token_counts as m
+
+    monkeypatch.setattr(limits, "MEMO_BYTES", 3000)
+    monkeypatch.setattr(limits, "LONG", 400)
+    monkeypatch.setattr(m, "BATCH", 7)
+    counter = m.BatchCounter(PATH)
+    texts = [(t or "") for _, t in sample(20)] + ["漢字" * 900, "q" * 70 + " " + "1x" * 300]
+    for at in range(0, len(texts), 5):
+        assert counter.lengths([t.encode() for t in texts[at : at + 5]]) == [len(library(t)) for t in texts[at : at + 5]]

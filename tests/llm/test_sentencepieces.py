@@ -53,3 +53,38 @@ def test_best_scores_by_brute_force():
     for word in ("▁hello", "▁there", "tion", "▁a"):
         got = coder.pieces(word)
         assert "".join(got) == word and abs(sum(coder.score[p] for p in got) - best(word)) < 1e-9
+
+
+def test_long_words_and_small_memos_change_nothing(library, monkeypatch):
+    import embspark.llm.sentencepieces as m
+
+    monkeypatch.setattr(m, "MEMO_BYTES", 5000)
+    monkeypatch.setattr(m, "PAIR_ENTRIES", 20)
+    coder, rng = PieceCoder(PATH), random.Random(8)
+    texts = ["".join(rng.choices("abcdefghij,.漢字日本語", k=3000)), "ab" * 4000, *(t or "" for _, t in sample(20))]
+    for t in texts:
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == library.encode(t)
+        assert max(coder.held.values()) <= 5000 and all(len(w) <= m.REMEMBERED for w in coder.memo)
+
+
+def test_best_paths_of_documents(spark, library):
+    coder = PieceCoder(PATH)
+
+    def best(word):
+        # every split, by sums of the prefixes before it
+        top = [0.0] + [None] * len(word)
+        for end in range(1, len(word) + 1):
+            sums = [top[at] + coder.score[word[at:end]] for at in range(end) if top[at] is not None and word[at:end] in coder.score]
+            if word[end - 1] not in coder.score and top[end - 1] is not None:
+                sums.append(top[end - 1] + coder.least)
+            top[end] = max(sums) if sums else None
+        return top[-1]
+
+    rows = [(i, t[:400] if t else t) for i, t in sample(12)]
+    for r in piece_codes(table(spark, rows), PATH, best=True).collect():
+        text = dict(rows)[r["doc_id"]] or ""
+        _, ids, score = coder.codes(text)
+        assert coder.decode(ids) == coder.decode(coder.encode(text))
+        want = best("▁" + text.replace(" ", "▁")) if text else 0.0
+        assert abs(r["best_score"] - want) < 1e-6 * max(1, abs(want)) and abs(score - want) < 1e-6 * max(1, abs(want))
+        assert (r["n_best_pieces"], r["best_crc32"]) == (len(ids) // 4, zlib.crc32(ids))
