@@ -8,6 +8,7 @@ import embspark.llm.byte_repeats as b
 import embspark.llm.repeats as r
 import embspark.llm.word_repeats as w
 from embspark.llm.grouping import common_prefixes, suffix_array
+from embspark.llm.suffix_trees import Tree
 from tests.llm.common import fixture_rows, sample, table, words
 
 
@@ -102,3 +103,61 @@ def test_texts_without_later_copies(spark):
     got = {x["doc_id"]: x for x in out.collect()}
     assert got[1]["text"] == "head " + text and got[4]["text"] == "short é" and 3 not in got
     assert got[2]["text"] in ("other tail", "other  tail", "other tail ", "othertail") and got[2]["n_chars"] == len(got[2]["text"])
+
+
+@pytest.fixture(params=[(20_000, 1 << 25), (2, 1 << 25), (20_000, 2000), (2, 2000)])
+def limits(request, monkeypatch):
+    monkeypatch.setattr(r, "HOT", request.param[0])
+    monkeypatch.setattr(r, "HELD_BYTES", request.param[1])
+    monkeypatch.setattr(r, "HELD_WINDOWS", request.param[1] // 40)
+    monkeypatch.setattr(r, "TEXT_BYTES", 3000)
+
+
+def test_copies_in_many_documents_and_shorter_passages(spark, limits):
+    rng = random.Random(5)
+    passage = " ".join(f"p{rng.randrange(60)}" for _ in range(50))
+    rows = [(3 * i + 1, " ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randint(0, 40))) + " " + passage[rng.randint(0, 60) :] + f" t{i}") for i in range(150)]
+    rows += [(3 * i, passage + " " + passage) for i in range(40)] + [(601, None), (602, ""), (None, passage)]
+    raw = {i: (t or "").encode() for i, t in rows if i is not None}
+    long, short = brute(raw, 90, False), brute(raw, 45, True)
+    got = {x["doc_id"]: x for x in b.remove_repeats(table(spark, rows), 90, passage=45).collect()}
+    assert {i: (got[i]["n_removed"], got[i]["n_spans"], got[i]["n_repeated"]) for i in raw} == {i: (len(long[i]), runs(long[i]), len(short[i])) for i in raw}
+    assert got[None]["n_removed"] == got[None]["n_repeated"] == 0
+    seqs = {i: words(t) for i, t in rows if i is not None}
+    cover = brute(seqs, 12, True)
+    got = {x["doc_id"]: x["n_removed"] for x in w.remove_repeats(table(spark, rows), 12).collect()}
+    assert {i: got[i] for i in seqs} == {i: len(c) for i, c in cover.items()}
+
+
+@pytest.mark.parametrize("letters", [2, 3, 8])
+def test_deep_nodes_of_a_tree_are_the_maximal_repeats(letters):
+    rng = random.Random(letters)
+    for _ in range(30):
+        text = [rng.randrange(1, letters + 1) for _ in range(rng.randint(2, 60))]
+        n = len(text)
+        suffixes = np.zeros((n, n + 1), np.uint32)
+        for i in range(n):
+            suffixes[i, : n - i] = text[i:]
+            suffixes[i, n - i] = letters + 1 + i  # an end of its own
+        where = {}
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                where.setdefault(tuple(text[i:j]), []).append(i)
+        for depth in (1, 3):
+            # a repeat that cannot be lengthened to either side in all of its places
+            before = lambda i: text[i - 1] if i else -i - 1
+            after = lambda i, k: text[i + k] if i + k < n else -i - 1
+            right = {s: at for s, at in where.items() if len(s) >= depth and len(at) > 1 and len({after(i, len(s)) for i in at}) > 1}
+            tree = Tree(suffixes)
+            nodes = {tuple(text[at[0] : at[0] + d]): sorted(at.tolist()) for d, at in tree.nodes(depth)}
+            assert nodes == right
+            maximal = {s for s, at in nodes.items() if len({before(i) for i in at}) > 1}
+            assert maximal == {s for s, at in right.items() if len({before(i) for i in at}) > 1}
+            classes = tree.at_depth(depth)
+            for i in range(n):
+                for j in range(i):
+                    same = i + depth <= n and text[i : i + depth] == text[j : j + depth]
+                    assert (classes[i] == classes[j]) == same or j + depth > n or i + depth > n
+    groups = np.array([0, 1, 0, 1])
+    same = Tree(np.ones((4, 3), np.uint32), groups).at_depth(3)
+    assert same[0] == same[2] != same[1] == same[3]
