@@ -16,14 +16,16 @@ from embspark.llm.common import checkpoint, documents, encoded, slices, to_batch
 from embspark.llm.components import components
 
 PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-ROW = pa.schema([("mask", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("level", pa.int32()), ("other", pa.int64())])
-ROW_DDL = "mask long, key long, fp long, node long, level int, other long"
-#: A bucket with more fingerprints than this is split by further bits, unless few bits are left.
-BUCKET = 4096
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+ROW = ["mask", "key", "fp", "node"]
+#: A bucket with more fingerprints than this is split by further bits, unless no more than FREE bits are left.
+BUCKET, FREE = 4096, 12
 #: Rows of one part of a group of candidates whose sets are compared; rows of candidates that are broadcast at most (about 200 bytes each).
 TILE, BROADCAST_ROWS = 1024, 100_000
 #: Bytes of rows with sets that are held at once, if no tile is larger.
 SET_BYTES = 64 << 20
+#: Shingles hashed at once.
+SHINGLES = 1 << 16
 #: Bit planes that are summed between two looks at which blocks are still within the radius.
 PLANES = 8
 #: Blocks of 64 pairs compared at once.
@@ -38,12 +40,16 @@ def fingerprint(words: list[bytes], shingle: int, seed: int = 42) -> int:
     if not words:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) <= shingle:
+    n = len(words) - shingle + 1
+    if n <= 1:
         return digest(join(words), seed=seed)
-    hashes = np.fromiter((digest(join(s), seed=seed) for s in zip(*(words[k:] for k in range(shingle)), strict=False)), np.uint64, len(words) - shingle + 1)
-    counts = np.add.reduceat(SPREAD[hashes.view(np.uint8).reshape(-1, 8)], np.arange(0, len(hashes), 255), axis=0)
-    bits = counts.view(np.uint8).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(hashes), bitorder="little").tobytes(), "little")
+    bits = np.zeros(64, np.int64)
+    for at in range(0, n, SHINGLES):
+        part = words[at : at + SHINGLES + shingle - 1]
+        hashes = np.fromiter((digest(join(s), seed=seed) for s in zip(*(part[k:] for k in range(shingle)), strict=False)), np.uint64, len(part) - shingle + 1)
+        counts = np.add.reduceat(SPREAD[hashes.view(np.uint8).reshape(-1, 8)], np.arange(0, len(hashes), 255), axis=0)
+        bits += counts.view(np.uint8).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -225,93 +231,72 @@ def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int, confirm: Calla
             tree = forest.roots()
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bool]]:
-    """Sorted rows (mask, key, fp, node, level) so that no group of up to BUCKET rows is cut; True: part of a larger one."""
-    held = np.zeros((0, 5), np.int64)
-    large: tuple[int, int] | None = None
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Sorted rows (mask, key, fp, node), no row twice, so that no group of equal mask and key is cut."""
+    held = np.zeros((0, 4), np.int64)
     for b in batches:
-        rows = np.stack([b.column(n).cast(pa.int64()).to_numpy() for n in ROW.names[:5]], axis=1)
-        held = np.concatenate([held, rows])
-        while len(held):
-            if large is not None:
-                other = np.flatnonzero((held[:, 0] != large[0]) | (held[:, 1] != large[1]))
-                end = int(other[0]) if len(other) else len(held)
-                if end:
-                    yield held[:end], True
-                held = held[end:]
-                if not len(held):
-                    break
-                large = None
-            last = np.flatnonzero((held[:, 0] != held[-1, 0]) | (held[:, 1] != held[-1, 1]))
-            tail = int(last[-1]) + 1 if len(last) else 0
-            if tail:
-                yield held[:tail], False
-                held = held[tail:]
-            if len(held) > BUCKET:
-                large = (int(held[0, 0]), int(held[0, 1]))
-                continue
-            break
+        held = np.concatenate([held, np.stack([b.column(n).to_numpy() for n in ROW], axis=1)])
+        other = np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1))
+        tail = int(other[-1]) + 1 if len(other) else 0
+        if tail:
+            yield without_repeats(held[:tail])
+            held = held[tail:]
     if len(held):
-        yield held, False
+        yield without_repeats(held)
 
 
-def compare(radius: int, last: bool):
-    """Arrow function over rows sorted by (mask, key): links (level -1), and rows of large buckets under masks with more bits."""
+def without_repeats(rows: np.ndarray) -> np.ndarray:
+    return rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        cols = np.array(rows, np.int64).reshape(-1, 6)
-        return pa.RecordBatch.from_arrays([pa.array(cols[:, k]).cast(f.type) for k, f in enumerate(ROW)], schema=ROW)
 
-    def wider(rows: np.ndarray) -> pa.RecordBatch:
-        out = []
-        for mask in np.unique(rows[:, 0]):
-            own = rows[rows[:, 0] == mask]
-            for more in split_bits(FULL & ~(int(mask) & FULL), radius + 1):
-                full = signed((int(mask) & FULL) | more)
-                out.append(np.stack([np.full(len(own), full), own[:, 2] & full, own[:, 2], own[:, 3], own[:, 4] + 1, own[:, 3]], axis=1))
-        return emit(np.concatenate(out))
-
-    def run(batches):
-        for rows, large in whole_groups(batches):
-            if large and not last:
-                yield wider(rows)
-                continue
-            change = np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]
-            group = np.cumsum(change)
-            if not last:
-                sizes = np.bincount(group)[group]
-                if (sizes > BUCKET).any():
-                    yield wider(rows[sizes > BUCKET])
-                    rows, group = rows[sizes <= BUCKET], group[sizes <= BUCKET]
-            links = bucket_links(rows[:, 2].view(np.uint64), group, radius)
-            if links:
-                yield emit([(0, 0, 0, rows[a, 3], -1, rows[b, 3]) for a, b in links])
-
-    return run
+def wider_masks(masks: list[int], radius: int) -> dict[int, list[int]]:
+    """For each mask with more than FREE bits left, those that also hold one of radius + 1 runs of the free bits; one of them has no differing bit."""
+    return {m: [m | more for more in split_bits(FULL & ~m, radius + 1)] for m in masks if (FULL & ~m).bit_count() > FREE}
 
 
-def print_links(prints: DataFrame, radius: int) -> DataFrame:
-    """``a, b``: links that connect all different fingerprints within ``radius``; ``prints(fp, node)``, one row each.
+def buckets(prints: DataFrame, radius: int) -> DataFrame:
+    """``mask, key, fp, node``: the rows of ``prints(fp, node)`` in buckets of equal bits, BUCKET rows or 2 ** FREE at most.
 
     Two fingerprints within the radius agree on some two of radius + 2 runs of bits, so
-    each is put into a bucket for every two runs. Buckets above BUCKET rows go on under
-    masks with one more of radius + 1 runs of their free bits; after two such steps
-    few bits are left, so that a bucket of different fingerprints is small by itself.
+    each is put into a bucket for every two runs. The rows of larger buckets go on under
+    masks with one more run of their free bits, until few bits are left: a bucket of
+    different fingerprints is then small by itself. Sizes are partial sums, so a large bucket is never one task's.
     """
-    masks = first_masks(radius)
-    rows = prints.select(
-        F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"), "fp", "node"
-    ).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node", F.lit(0).alias("level"), F.col("node").alias("other"))
-    n, found = width(prints), None
-    for step in range(3):
-        dealt = rows.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp")
-        out = checkpoint(dealt.mapInArrow(compare(radius, step == 2), ROW_DDL))
-        links = out.where("level < 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        found = links if found is None else found.union(links)
-        rows = out.where("level >= 0")
-        if rows.isEmpty():
+    spark, masks = prints.sparkSession, first_masks(radius)
+    key = F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+    rows = prints.select(F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"), "fp", "node").select("mask", key, "fp", "node")
+    done = None
+    while wider := wider_masks(masks, radius):
+        sizes = rows.where(F.col("mask").isin([signed(m) for m in wider])).groupBy("mask", "key").count()
+        large = checkpoint(sizes.where(F.col("count") > BUCKET).select("mask", "key"))
+        n = large.count()
+        if not n:
             break
-    return found
+        if n <= BROADCAST_ROWS:
+            large = F.broadcast(large)
+        kept = rows.join(large, ["mask", "key"], "left_anti")
+        done = kept if done is None else done.union(kept)
+        more = spark.createDataFrame([(signed(m), signed(w)) for m, ws in wider.items() for w in ws], "mask long, wider long")
+        # a few dozen masks
+        rows = rows.join(large, ["mask", "key"]).join(F.broadcast(more), "mask").select(F.col("wider").alias("mask"), "fp", "node").select("mask", key, "fp", "node")
+        rows = checkpoint(rows)
+        masks = sorted({w for ws in wider.values() for w in ws})
+    return rows if done is None else done.union(rows)
+
+
+def print_links(prints: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links that connect all different fingerprints within ``radius``; ``prints(fp, node)``, one row each."""
+
+    def run(batches):
+        for rows in whole_groups(batches):
+            group = np.cumsum(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+            found = bucket_links(rows[:, 2].view(np.uint64), group, radius)
+            if found:
+                a, b = np.array(found).T
+                yield to_batch(LINK, a=rows[a, 3], b=rows[b, 3])
+
+    dealt = buckets(prints, radius).repartition(width(prints), "mask", "key").sortWithinPartitions(*ROW)
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -334,7 +319,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64())), ("digest", pa.int64())])
-LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def lane_hashes(hashes: np.ndarray, lanes: int) -> Iterator[np.ndarray]:
