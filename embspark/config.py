@@ -22,7 +22,7 @@ class Status(IntEnum):
 
 @dataclass(frozen=True)
 class StoreConfig:
-    """``dims`` may be empty if ``auto_create`` is set; ``pending_limit`` is in rows, ``page_size`` in bytes."""
+    """``dims`` may be empty if ``auto_create`` is set; ``pending_limit`` is in rows, ``page_size`` in bytes; ``batch_limit`` rows a put at most (0: any)."""
 
     dims: tuple[int, ...] = ()
     auto_create: bool = False
@@ -31,6 +31,7 @@ class StoreConfig:
     buckets: int = 8
     mode: str = "rw"
     full_every: int = 10
+    batch_limit: int = 0
 
     def __post_init__(self):
         if any(d <= 0 for d in self.dims) or (not self.dims and not self.auto_create):

@@ -28,6 +28,23 @@ def histogram(samples: DataFrame, column: str) -> DataFrame:
     return samples.groupBy(bucket(F.col(column)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def full_histogram(samples: DataFrame, column: str, *keys: str) -> DataFrame:
+    """``keys, bucket, n, total, least, most``: a histogram that can be merged with others and still knows sum, minimum and maximum."""
+    value = F.col(column)
+    return samples.groupBy(*keys, bucket(value).alias("bucket")).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def merged_histogram(parts: DataFrame, *keys: str) -> DataFrame:
+    """Histograms added up, by ``keys`` and bucket."""
+    return parts.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def histogram_stats(hist: DataFrame, *keys: str) -> DataFrame:
+    """``keys, n, total, least, most, mean`` of histograms."""
+    out = hist.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return out.withColumn("mean", F.col("total") / F.col("n"))
+
+
 def _targets(spark: SparkSession, percents: Sequence[float]) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(float(p),) for p in percents], "percentile double"))
 

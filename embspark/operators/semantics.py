@@ -28,6 +28,29 @@ def batch_get(requests: DataFrame, store: DataFrame, columns: Sequence[str] = ("
     return requests.join(found, "feat_id", "left").select("pos", "feat_id", F.coalesce("dim", F.lit(0)).alias("dim"), *columns)
 
 
+def cache_split(requests: DataFrame, cache: DataFrame, store: DataFrame, columns: Sequence[str] = ("embedding",)) -> DataFrame:
+    """``batch_get`` through a read cache: ids that ``cache`` holds are answered from it, the others alone are looked up; ``source`` says which.
+
+    A cached row wins over the store's. ``source`` is "cache", "store", or "none" for a miss.
+    """
+    hit = batch_get(requests, cache, columns)
+    cached = hit.where("dim > 0").withColumn("source", F.lit("cache"))
+    rest = batch_get(hit.where("dim = 0").select("pos", "feat_id"), store, columns)
+    return cached.unionByName(rest.withColumn("source", F.when(F.col("dim") > 0, "store").otherwise("none")))
+
+
+def row_checksums(rows: DataFrame, body: Column | None = None) -> DataFrame:
+    """``rows`` with ``checksum``: MD5 of id, dim and ``body`` (the vector's text if none is given), for deltas that are verified when they are read."""
+    if body is None:
+        body = F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ",", "null")
+    return rows.withColumn("checksum", F.md5(F.concat_ws("|", F.col("feat_id").cast("string"), F.col("dim").cast("string"), body.cast("string")).cast("binary")))
+
+
+def corrupt_rows(rows: DataFrame, body: Column | None = None) -> DataFrame:
+    """Rows whose ``checksum`` is not that of their contents."""
+    return row_checksums(rows.withColumnRenamed("checksum", "_told"), body).where("not (checksum <=> _told)").drop("_told")
+
+
 def probe(requests: DataFrame, store: DataFrame) -> DataFrame:
     """Dims of the requested ids, without reading a vector."""
     return batch_get(requests, store.select("feat_id", "dim"), ())
@@ -70,15 +93,31 @@ def put_status(puts: DataFrame, registered: Sequence[int]) -> DataFrame:
 
     A batch is taken in ascending dim. From the first unregistered dim on it is INVALID;
     among the rest an id keeps the dim it was first stored with, other dims are DIM_MISMATCH.
+    Where a batch stops is a partial aggregate (one row for each batch that does), so one
+    large batch is not one task's.
     """
-    unknown = F.when(~F.col("dim").isin([int(d) for d in registered]), F.col("dim"))
-    stop = F.min(unknown).over(Window.partitionBy("batch"))
-    rows = puts.withColumn("invalid", F.coalesce(F.col("dim") >= stop, F.lit(False)))
+    unknown = ~F.col("dim").isin([int(d) for d in registered])
+    stops = puts.where(unknown).groupBy("batch").agg(F.min("dim").alias("_stop"))
+    rows = puts.join(stops, "batch", "left").withColumn("invalid", F.coalesce(F.col("dim") >= F.col("_stop"), F.lit(False)))
     tried = F.when(~F.col("invalid"), F.col("dim"))
     order = Window.partitionBy("feat_id").orderBy("batch", "dim", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     live = F.first(tried, ignorenulls=True).over(order)
     status = F.when(F.col("invalid"), "INVALID").when(F.col("dim") != live, "DIM_MISMATCH").otherwise("OK")
-    return rows.withColumn("status", status).drop("invalid")
+    return rows.withColumn("status", status).select(*puts.columns, "status")
+
+
+def put_batch_status(batch: DataFrame, live: DataFrame, registered: Sequence[int]) -> DataFrame:
+    """``batch(pos, feat_id, dim, ...)`` with a ``status`` for each row, taken as one batch against ``live(feat_id, dim)``.
+
+    Ids are joined to the dims they have; no window sees the batch as a whole.
+    """
+    stop = batch.where(~F.col("dim").isin([int(d) for d in registered])).agg(F.min("dim")).first()[0]
+    invalid = F.lit(False) if stop is None else F.col("dim") >= stop
+    now = live.select("feat_id", F.col("dim").alias("_now"))
+    first = batch.where(~invalid).groupBy("feat_id").agg(F.min("dim").alias("_first"))
+    rows = batch.join(first, "feat_id", "left").join(now, "feat_id", "left")
+    status = F.when(invalid, "INVALID").when(F.col("dim") != F.coalesce("_now", "_first"), "DIM_MISMATCH").otherwise("OK")
+    return rows.withColumn("status", status).select(*batch.columns, "status")
 
 
 def batch_status(rows: DataFrame) -> DataFrame:
@@ -97,6 +136,24 @@ def registered_dims(puts: DataFrame) -> DataFrame:
     return batches.join(F.broadcast(known.alias("k")), at).select("b.batch", F.col("k.n").alias("n_dims"))
 
 
+def settled_changes(log: DataFrame, live: DataFrame) -> DataFrame:
+    """What a stretch of mutations, each taken by itself in order of ``seq``, does to ``live(feat_id, dim, ...)``.
+
+    One row (``op, feat_id, seq`` and the log's other columns) for each id that changes: its last accepted put, or a delete.
+    Puts of an id under another dim than it has then are ignored, whatever comes after.
+    """
+    log = log.where(F.col("feat_id") != RESERVED)
+    touched = log.select("feat_id").distinct()
+    before = live.join(touched, "feat_id", "left_semi")
+    none = {c: F.lit(None) for c in log.columns if c not in before.columns} | {"seq": F.lit(-1).cast("long"), "op": F.lit("P")}
+    start = before.select(*(none[c].cast(log.schema[c].dataType).alias(c) if c in none else F.col(c) for c in log.columns))
+    after = apply_log(start.unionByName(log))
+    puts = after.where("seq >= 0").withColumn("op", F.lit("P")).select(*log.columns)
+    gone = before.select("feat_id").join(after, "feat_id", "left_anti")
+    gone = gone.select(*(F.lit("D").alias(c) if c == "op" else F.col(c) if c == "feat_id" else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns))
+    return puts.unionByName(gone)
+
+
 def layered(base: DataFrame, overlay: DataFrame) -> DataFrame:
     """Reads during a checkpoint: a row of the overlay hides the base's."""
     rows = base.withColumn("layer", F.lit(0)).unionByName(overlay.withColumn("layer", F.lit(1)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from embspark.functions import latency
 from embspark.operators import layout, semantics, serving
 from embspark.schema import signed, unsigned
+from embspark.sources import dump
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -400,3 +401,50 @@ def q44(spark, d):
     log = mutations(spark, d)
     old, new = (semantics.apply_log(log.where(F.col("generation") <= g)).select("feat_id", "dim", "value") for g in (3, 5))
     return semantics.row_diff(old, new).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query("q45_dump_round_trip", f"WITH {STORE0} SELECT 7::BIGINT AS generation, feat_id, dim, round(embedding[1]::DOUBLE, 6) AS value FROM store0")
+def q45(spark, d):
+    files = dump.dump_table(store0(spark, d).select("feat_id", "dim", "embedding"), 7, rows_per_file=1000)
+    return dump.decoded(files).select("generation", "feat_id", "dim", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("value"))
+
+
+@query("q46_checkpoint_steps", f"""WITH {SLOTS}, s AS (SELECT *, (row_number() OVER (PARTITION BY generation ORDER BY dim, page) - 1) // 64 AS step, count(*) OVER (PARTITION BY generation) AS total FROM dirty)
+ SELECT generation, step, count(*) AS pages, least((step + 1) * 64, max(total))::BIGINT AS done, CASE WHEN (step + 1) * 64 < max(total) THEN 'AGAIN' ELSE 'OK' END AS status FROM s GROUP BY generation, step""")
+def q46(spark, d):
+    return layout.step_progress(layout.dirty_pages(only_puts(spark, d)), 64)
+
+
+@query("q47_histogram_stats", f"WITH {LAT} SELECT ckpt_active, count(*) AS n, sum(latency)::BIGINT AS total, min(latency) AS least, max(latency) AS most, round(sum(latency) / count(*), 6) AS mean FROM lat GROUP BY ckpt_active")
+def q47(spark, d):
+    hours = latency.full_histogram(samples(spark, d).withColumn("hour", F.hour("ts")), "latency", "ckpt_active", "hour")
+    stats = latency.histogram_stats(latency.merged_histogram(hours, "ckpt_active"), "ckpt_active")
+    return stats.withColumn("mean", F.round("mean", 6))
+
+
+@query("q48_cache_miss_join", f"""WITH {GOT}, hot AS (SELECT feat_id FROM store0 WHERE label < 3)
+ SELECT pos, dim, CASE WHEN dim = 0 THEN 'none' WHEN feat_id IN (SELECT feat_id FROM hot) THEN 'cache' ELSE 'store' END AS source, round(embedding[1]::DOUBLE, 6) AS value FROM got""")
+def q48(spark, d):
+    store = store0(spark, d)
+    got = semantics.cache_split(requests(spark, d), store.where("label < 3").drop("label"), store)
+    return got.select("pos", "dim", "source", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("value"))
+
+
+@query("q49_row_checksum", f"WITH {MUT} SELECT seq, feat_id, md5(concat_ws('|', feat_id, dim, CAST(trunc(value * 1000) AS BIGINT))) AS checksum FROM mut WHERE op = 'P'")
+def q49(spark, d):
+    return semantics.row_checksums(only_puts(spark, d), (F.col("value") * 1000).cast("long")).select("seq", "feat_id", "checksum")
+
+
+@query("q50_mixed_dim_stream", f"WITH {MUT}, {state_sql('true')} SELECT feat_id, dim, value, seq FROM state")
+def q50(spark, d):
+    log = mutations(spark, d).drop("generation")
+    # cut in the middle as micro-batches would, and applied one after the other
+    half = log.agg(F.max("seq")).first()[0] // 2
+    parts = [log.where(F.col("seq") <= half), log.where(F.col("seq") > half)]
+    live = None
+    for part in parts:
+        now = part.limit(0) if live is None else live
+        changes = semantics.settled_changes(part, now.select("feat_id", "dim", "value"))
+        rest = now.join(changes.select("feat_id"), "feat_id", "left_anti")
+        live = rest.select("feat_id", "dim", "value", "seq").unionByName(changes.where("op = 'P'").select("feat_id", "dim", "value", "seq"))
+    return live
