@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from embspark.llm.common import checkpoint, documents
 
-#: Documents in copied groups whose ids are broadcast at most (about 16 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-#: About so many neighbouring ids are ordered in one group.
-GROUP_ROWS = 2048
+#: Rows of copied groups, or of groups, that are broadcast at most (about 60 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+#: About so many neighbouring rows are ordered in one range, so long as MOST_RANGES are enough; bounds are looked up in two steps of STEP.
+GROUP_ROWS, MOST_RANGES, STEP = 2048, 4096, 64
 
 
 def canonical(text: Column) -> Column:
@@ -30,50 +30,76 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(canon)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), canon)), 16, "0")))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, group_id`` of the documents that have a copy: the smallest id with the same canonical bytes.
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
 
-    Fingerprints are grouped first; inside each bucket of two or more the canonical
-    bytes themselves are grouped, so a collision of hashes links nothing.
+
+def exact_groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``fp, wide, group_id`` of the canonical texts that more than one row has: the smallest id with the same canonical bytes.
+
+    ``prints(doc_id, th, fp)`` of all rows come first: inside each bucket of two or more
+    the canonical bytes themselves are grouped, so a collision of hashes links nothing.
+    ``wide`` is a second, independent digest that names a group's bytes in joins.
     """
-    prints = checkpoint(docs.select("doc_id", digest(canonical(F.coalesce("text", F.lit("")))).alias("fp")))
-    shared = prints.groupBy("fp").count().where("count > 1").select("fp")
-    ids = checkpoint(prints.join(shared, "fp", "left_semi").select(F.col("doc_id").alias("_id")).distinct())
+    shared = checkpoint(prints.groupBy("fp").count().where("count > 1").select("fp"))
+    if shared.count() <= BROADCAST_IDS:
+        shared = F.broadcast(shared)
+    ids = checkpoint(prints.join(shared, "fp", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    copies = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon"))
-    copies = copies.select("doc_id", digest(F.col("canon")).alias("fp"), "canon")
-    first = copies.groupBy("fp", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
-    # the bytes were compared in the grouping; a second, independent digest names a group in the join
-    wide = lambda: F.sha2("canon", 256).alias("wide")
-    return copies.select("doc_id", "fp", wide()).join(first.select("fp", wide(), "group_id"), ["fp", "wide"]).select("doc_id", "group_id").distinct()
+    rows = docs.select("doc_id", "text", _text_hash())
+    copies = rows.join(ids, rows["doc_id"].eqNullSafe(ids["_id"]) & (F.col("th") == F.col("_th")), "left_semi")
+    copies = copies.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon"))
+    groups = copies.groupBy(digest(F.col("canon")).alias("fp"), "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
+    return groups.select("fp", F.sha2("canon", 256).alias("wide"), "group_id")
+
+
+def id_ranges(keys: DataFrame) -> Column:
+    """The range that a row of ``keys(doc_id, th)`` falls into, from numbers of rows: later in descending order of ids is lower, and below zero are rows without an id."""
+    n, none = keys.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    parts, spare = (max(1, min(MOST_RANGES, k // GROUP_ROWS)) for k in (n - none, none))
+    shares = [k / parts for k in range(1, parts)]
+    bounds = sorted(set(keys.agg(F.percentile_approx("doc_id", shares, max(10_000, 8 * parts))).first()[0] or [])) if shares else []
+    at_most = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
+    if bounds:
+        every = F.array(*map(F.lit, bounds))
+        coarse = at_most(F.array(*map(F.lit, bounds[STEP - 1 :: STEP]))) if len(bounds) >= STEP else F.lit(0)
+        known = coarse * STEP + at_most(F.slice(every, coarse * STEP + 1, F.lit(STEP)))
+    else:
+        known = F.lit(0)
+    share = F.col("th").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    loose = -1 - F.least(F.floor(share * spare), F.lit(spare - 1))
+    return F.when(F.col("doc_id").isNull(), loose).otherwise(known).cast("long")
+
+
+def ordered_ranges(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, th, bucket, guest``: all rows by ranges of ids; each range also has the first row of the next one, as a guest after its own.
+
+    Ranges come from the distribution of the ids, so outliers and gaps cost nothing; the
+    heads of the ranges (2 * MOST_RANGES at most) go through the driver.
+    """
+    keys = checkpoint(docs.select("doc_id", _text_hash()))
+    bucket = id_ranges(keys).alias("bucket")
+    first = keys.select("doc_id", "th", bucket).groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "th")).alias("head"))
+    heads = sorted(((r["bucket"], r["head"]["down"], r["head"]["th"]) for r in first.collect()), key=lambda r: -r[0])
+    guests = [(None if down is None else ~down, th, heads[k - 1][0]) for k, (_, down, th) in enumerate(heads)]
+    table = F.broadcast(docs.sparkSession.createDataFrame(guests, "_id long, _th long, host long"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _text_hash()).withColumn("bucket", bucket)
+    rows = rows.join(table, rows["doc_id"].eqNullSafe(table["_id"]) & (F.col("th") == F.col("_th")), "left")
+    own, other = F.struct("bucket", F.lit(0).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))
+    places = F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, other))
+    return rows.select("doc_id", "text", "th", F.explode(places).alias("at")).select("doc_id", "text", "th", "at.bucket", "at.guest")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, fp, next_text, next_fp``: each row and the next in descending id (the first follows the last).
+def _order() -> WindowSpec:
+    """Descending ids; rows of one id, and rows without one, by a hash of their texts."""
+    return Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "th")
 
-    Ids are cut into equal ranges of about ``GROUP_ROWS`` rows, ordered within, and the ends joined.
-    """
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    ranges = max(1, n // GROUP_ROWS)
-    step = max(1, ((hi - lo) // ranges + 1) if n and hi is not None else 1)
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo if lo is not None else 0)) / F.lit(step)), F.lit(-1)).cast("long")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.alias("bucket"))
-    keyed = keyed.withColumn("fp", digest(canonical(F.col("text"))))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "fp", F.xxhash64("text"))
-    ranked = keyed.select(
-        "doc_id", "text", "fp", "bucket", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")
-    )
-    inside = ranked.where("next_text is not null").drop("rn", "bucket")
-    last = ranked.where("next_text is null").drop("next_text", "next_fp", "rn")
-    # one row a bucket from here on
-    down = Window.orderBy(F.col("bucket").desc())
-    buckets = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
-    below = F.coalesce(F.lead("bucket").over(down), F.max("bucket").over(Window.partitionBy()))
-    steps = buckets.select(F.col("bucket").alias("at"), below.alias("to"))
-    heads = ranked.where("rn = 1").select(F.col("bucket").alias("to"), F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
-    ends = last.join(steps, last["bucket"] == steps["at"]).join(heads, "to")
-    return inside.unionByName(ends.select("doc_id", "text", "fp", "next_text", "next_fp"))
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, next_text``: each row and the next in descending id (the first follows the last)."""
+    rows = ordered_ranges(docs).withColumn("next_text", F.lead("text").over(_order()))
+    return rows.where("guest = 0").select("doc_id", "text", "next_text")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -83,25 +109,32 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     of the next document's text, in descending id. An exact fingerprint is alike to
     another by 1.0 if digest and canonical bytes are equal, else 0.0. ``group_id`` is the
     smallest id with the same canonical text (the row's own if there is no other).
-    Null text: empty. Null ids come after all others; rows that tie are ordered by
-    their digests. An empty table gives no rows.
+    Null text: empty. Null ids come after all others; rows that tie are ordered by a hash
+    of their texts. Ids may lie anywhere in the range of longs. An empty table gives no rows.
+    Each text is moved once and made canonical once, and so is its edited form.
     """
-    rows = with_next(docs)
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    rows = rows.withColumn("edited", edited).withColumn("efp", digest(canonical(F.col("edited"))))
+    rows = ordered_ranges(docs).withColumn("next_text", F.lead("text").over(_order()))
+    rows = rows.select("doc_id", "th", "bucket", "guest", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.withColumn("canon", canonical(F.col("text"))).drop("text").withColumn("ecanon", canonical(F.col("edited")))
+    rows = rows.withColumn("next_canon", F.lead("canon").over(_order())).where("guest = 0")
+    rows = rows.withColumn("fp", digest(F.col("canon"))).withColumn("efp", digest(F.col("ecanon")))
 
     def alike(fp: str, text: str) -> Column:
-        same = F.when(F.col("fp") == F.col(fp), canonical(F.col("text")) == canonical(F.col(text))).otherwise(False)
-        return same.cast("double")
-
-    out = rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"),
-        F.col("efp").alias("edited_fingerprint"), alike("efp", "edited").alias("near_edited"), alike("next_fp", "next_text").alias("near_next"),
+        return F.when(F.col("fp") == F.col(fp), F.col("canon") == F.col(text)).otherwise(False).cast("double")
+
+    out = checkpoint(rows.withColumn("nfp", digest(F.col("next_canon"))).select(
+        "doc_id", "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp", F.sha2("canon", 256).alias("wide"),
+        alike("efp", "ecanon").alias("near_edited"), alike("nfp", "next_canon").alias("near_next"),
+    ))
+    groups = checkpoint(exact_groups(docs, out.select("doc_id", "th", "fp")))
+    if groups.count() <= BROADCAST_IDS:
+        groups = F.broadcast(groups)
+    return out.join(groups, ["fp", "wide"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), "near_edited", "near_next",
+        F.coalesce("group_id", "doc_id").alias("group_id"),
     )
-    groups = exact_groups(docs).withColumnRenamed("doc_id", "_id").groupBy("_id").agg(F.min("group_id").alias("group_id"))
-    out = out.join(groups, out["doc_id"] == groups["_id"], "left").drop("_id")
-    return out.withColumn("group_id", F.coalesce("group_id", "doc_id"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

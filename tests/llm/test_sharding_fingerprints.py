@@ -75,3 +75,26 @@ def test_ranges_join_at_their_ends(spark, monkeypatch):
     df, rows = table(spark, sample()), sorted(sample(), key=lambda r: -r[0])
     got = {r["doc_id"]: r["next_text"] for r in m.with_next(df).collect()}
     assert got == {i: u or "" for (i, _), (_, u) in zip(rows, [*rows[1:], rows[0]], strict=True)}
+
+
+def test_ids_at_both_ends_outliers_and_rows_without_an_id(spark, monkeypatch):
+    import embspark.llm.fingerprints as m
+
+    monkeypatch.setattr(m, "GROUP_ROWS", 5)
+    monkeypatch.setattr(m, "STEP", 4)
+    low, high = -(2**63), 2**63 - 1
+    rows = [(i, f"text {i % 7} {'x' * (i % 11)}") for i in range(200)] + [(low, "least"), (high, "most"), (2**62, "far"), (-(2**62), "away")]
+    df = table(spark, rows)
+    ordered = sorted(rows, key=lambda r: -r[0])
+    got = {r["doc_id"]: r["next_text"] for r in m.with_next(df).collect()}
+    assert got == {i: u for (i, _), (_, u) in zip(ordered, [*ordered[1:], ordered[0]], strict=True)}
+    sizes = sorted(r["count"] for r in m.ordered_ranges(df).where("guest = 0").groupBy("bucket").count().collect())
+    assert sizes[-1] <= 15 and len(sizes) >= 20
+    assert fingerprint_edits(df).count() == len(rows)
+    rows += [(None, f"none {i % 30}") for i in range(90)]
+    out = fingerprint_edits(table(spark, rows)).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    # of three equal rows without an id two are followed by a copy of their own
+    assert Counter(r["near_next"] for r in out if r["doc_id"] is None) == Counter({1.0: 60, 0.0: 30})
+    with_none = m.with_next(table(spark, rows)).collect()
+    assert Counter(r["next_text"] for r in with_none) == Counter(t for _, t in rows)
