@@ -1,3 +1,5 @@
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -90,3 +92,52 @@ def test_documents_made_mostly_of_a_block_are_rejected(spark):
 
 def test_empty_table(spark):
     assert quality_rules(table(spark, [])).count() == 0
+
+
+def brute_verdicts(rows, max_docs=20):
+    """kept and removed words of (id, text, host) rows by the rules alone."""
+    space = re.compile(r"[\x20\x09-\x0d]+")
+    normal = lambda line: space.sub(" ", line).strip(" ").lower()
+    seen = {}
+    for i, text, host in rows:
+        for line in (text or "").split("\n"):
+            if normal(line):
+                seen.setdefault((host or "", normal(line)), set()).add(("text", text) if i is None else i)
+    out = []
+    for _, text, host in rows:
+        n_words, _, _, _, _, failed = brute(text)
+        gone = sum(len(normal(line).split(" ")) for line in (text or "").split("\n") if normal(line) and len(seen[host or "", normal(line)]) > max_docs)
+        out.append((gone, not failed and 100 * gone <= 50 * n_words))
+    return out
+
+
+def odd_rows():
+    rng = random.Random(2)
+    body = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    ends, starts = ["", "\r", " \t", "\x0b\x0c"], ["", "\t", "  ", "\x0c "]
+    rows = []
+    for k in range(260):
+        host = rng.choice(["a", "b", None])
+        lines = [body(rng.choice([10, 55, 80]))]
+        for notice in range(4):
+            if rng.random() < (0.5, 0.35, 0.2, 0.05)[notice]:
+                text = " ".join(f"Notice{notice} Part{j}" for j in range(12 * notice + 4))
+                if rng.random() < 0.5:
+                    text = text.upper().replace(" ", " \t", 2)
+                lines.insert(rng.randint(0, len(lines)), rng.choice(starts) + text + rng.choice(ends))
+        rows.append((rng.choice([None, k, k, k % 40]), "\n".join(lines) if rng.random() < 0.9 else "\r\n\r\n".join(lines), host))
+    rows += [rows[3], rows[4], (7, body(60), "a"), (7, "bad", "a"), (None, body(60), "a"), (None, "bad2", "a"), (None, None, "a"), (300, "", None)]
+    return rows
+
+
+def test_every_verdict_by_brute_force(spark):
+    rows = odd_rows()
+    df = spark.createDataFrame([(i, t, h, "x", 1) for i, t, h in rows], "doc_id long, text string, source string, digest string, row int").repartition(6)
+    want = brute_verdicts(rows)
+    assert len({w for w in want}) > 6
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed_words"], r["kept"]) for r in quality_rules(df).collect())
+    assert got == Counter((i, brute(t)[0], n, kept) for (i, t, _), (n, kept) in zip(rows, want, strict=True))
+    out = clean_texts(df)
+    assert out.columns == df.columns
+    left = Counter((r["doc_id"], r["source"], len((r["text"] or "").encode().split())) for r in out.collect())
+    assert left == Counter((i, h, brute(t)[0] - n) for (i, t, h), (n, kept) in zip(rows, want, strict=True) if kept)
