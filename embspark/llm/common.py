@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -22,11 +23,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    none is set (tests, notebooks) is a temporary one chosen.
+    none is set and Spark runs in this one process (tests, notebooks) is a temporary
+    one chosen. On a cluster without that setting this is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="embspark-checkpoint-"))
     return df.checkpoint()
 

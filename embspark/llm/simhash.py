@@ -180,11 +180,11 @@ class Forest:
         return up
 
 
-def lag_blocks(group: np.ndarray, tree: np.ndarray, lags: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Words, lags and bits of the pairs to compare, of one group but two trees, for as many ``lags`` as make up BLOCKS; the next lag."""
+def lag_blocks(group: np.ndarray, tree: np.ndarray, guest: np.ndarray, lags: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Words, lags and bits of the pairs to compare, of one group but two trees and not both guests, for as many ``lags`` as make up BLOCKS; the next lag."""
     words, own, alive, held, lag = [], [], [], 0, lags.start
     for lag in lags:
-        pairs = (group[lag:] == group[:-lag]) & (tree[lag:] != tree[:-lag])
+        pairs = (group[lag:] == group[:-lag]) & (tree[lag:] != tree[:-lag]) & ~(guest[lag:] & guest[:-lag])
         bits = np.packbits(pairs, bitorder="little")
         bits = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view("<u8")
         at = np.flatnonzero(bits)
@@ -197,17 +197,26 @@ def lag_blocks(group: np.ndarray, tree: np.ndarray, lags: range) -> tuple[np.nda
     return np.concatenate(words), np.concatenate(own), np.concatenate(alive), lag + 1
 
 
-def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int, confirm: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def bucket_links(
+    fps: np.ndarray, group: np.ndarray, radius: int, confirm: Callable[[int, int], bool] | None = None, label: np.ndarray | None = None, guest: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """A spanning forest of the pairs (i, j) of equal ``group`` (rows sorted by it) within the radius, and confirmed.
 
-    All pairs of a group are compared but those whose rows one tree holds already.
+    All pairs of a group are compared but those whose rows one tree holds already; rows of
+    equal ``label`` are one tree from the start. Two rows that are both a ``guest`` are compared elsewhere.
     """
     out, forest = [], Forest(len(fps))
     if not len(fps):
         return out
+    guest = np.zeros(len(fps), bool) if guest is None else guest
+    tree = np.arange(len(fps))
+    if label is not None:
+        _, at, own = np.unique(np.stack([group, label]), axis=1, return_index=True, return_inverse=True)
+        forest.up = at[own.ravel()].tolist()
+        tree = forest.roots()
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
-    kept, lag, end, tree = None, 1, 1, np.arange(len(fps))
+    kept, lag, end = None, 1, 1
     while True:
         if lag == end:  # again and again only the rows of large enough buckets
             # a bucket that is one tree has nothing more to say
@@ -218,7 +227,7 @@ def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int, confirm: Calla
             base, own, end = planes_of(fps[kept]), group[kept], 2 * lag
         if lag >= len(kept):
             return out
-        at, lags, alive, lag = lag_blocks(own, tree[kept], range(lag, min(end, len(kept))))
+        at, lags, alive, lag = lag_blocks(own, tree[kept], guest[kept], range(lag, min(end, len(kept))))
         found = near_words(base, at, lags, alive, radius)
         some = np.flatnonzero(found)
         if len(some):
@@ -397,53 +406,85 @@ def with_parts(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.join(sizes, key, "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / most), F.lit(1)).cast("long")).drop("count")
 
 
-def in_tiles(rows: DataFrame) -> DataFrame:
-    """Each row with each pair of parts that its ``own`` is in, as ``tile``; ``cross`` if the two differ."""
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tile = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
-    return rows.withColumn("tile", tile).withColumn("cross", F.col("own") != F.col("other")).drop("parts", "other")
+def linked_in_parts(rows: DataFrame, key: str, most: int, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``a, b``: links that ``find`` has inside the groups of equal ``key`` of ``rows(key, node, ...)``.
+
+    Groups above ``most`` rows are cut into parts, in two ways that have nothing to do with
+    each other. First each part is linked by itself; together the two cuts make one tree
+    of a group of near copies. Then only the rows outside a group's largest tree visit its other parts, as
+    guests, to be compared with the rows of other trees there: no pair is left out but
+    those that a tree holds already, and rows of the largest tree are never copied.
+    ``find`` gets ``label`` (a tree's number) and ``tiles`` (part, guest) beside the columns of ``rows``.
+    """
+    parted = with_parts(rows, key, most)
+    own, other = (F.pmod(F.xxhash64(F.lit(k), key, "node"), F.col("parts")) for k in (0, 1))
+    place = lambda tile, guest: F.struct(tile.alias("tile"), guest.alias("guest"))
+    once = F.array(place(own, F.lit(False)))
+    twice = F.array(place(own, F.lit(False)), place(F.col("parts") + other, F.lit(False)))
+    links = checkpoint(find(parted.select(*rows.columns, F.col("node").alias("label"), F.when(F.col("parts") == 1, once).otherwise(twice).alias("tiles"))))
+    large = parted.where("parts > 1")
+    if large.isEmpty():
+        return links
+    trees = checkpoint(components(links).select("node", F.col("component").alias("label")))
+    large = large.join(trees, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = large.groupBy(key, "label").count()
+    main = checkpoint(sizes.groupBy(key).agg(F.max_by("label", "count").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # one row for each group above ``most`` rows that is not one tree yet
+    if main.count() <= BROADCAST_ROWS:
+        main = F.broadcast(main)
+    everywhere = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda t: place(t, t != own))
+    tiles = F.when(F.col("label") == F.col("main"), once).otherwise(everywhere).alias("tiles")
+    return links.union(find(large.join(main, key).select(*rows.columns, "label", tiles)))
+
+
+def tile_rows(rows: DataFrame, key: str) -> DataFrame:
+    """A row for each tile, dealt and sorted so that tiles are whole."""
+    names = [c for c in rows.columns if c != "tiles"]
+    each = rows.select(*names, F.explode("tiles").alias("t")).select(*names, "t.tile", "t.guest")
+    return each.repartition(width(rows), key, "tile").sortWithinPartitions(key, "tile", "node")
 
 
 def similar_sets(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
     """``a, b``: links by the exact similarity of the shingle sets; ``groups(node, digest, fp, component)``.
 
     The pairs of a component within ``radius`` are compared set by set, but those that
-    confirmed links connect already; components above TILE rows are compared in tiles.
+    confirmed links connect already; components above TILE rows are compared in parts.
     """
-    chosen = checkpoint(with_parts(checkpoint(groups), "component", TILE))
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    texts = docs.select("doc_id", "text").join(chosen, (F.col("doc_id") == F.col("node")) & (F.xxhash64("text") == F.col("digest")))
-    schema = pa.schema([("component", pa.int64()), ("node", pa.int64()), ("parts", pa.int64()), ("fp", pa.binary()), ("hashes", pa.binary())])
+    names = ["component", "node", "label", "fp", "tiles"]
+    ddl = "component long, node long, label long, fp binary, tiles array<struct<tile:long,guest:boolean>>, hashes binary"
 
     def draw(batches):
         for part in slices(batches):
             sets = [np.unique(shingle_hashes(t.lower().split(), shingle)).tobytes() for t in encoded(part.column("text"))]
-            yield to_batch(schema, **{c: part.column(c) for c in schema.names[:4]}, hashes=sets)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "hashes"])
 
     def run(batches):
         for rows in whole_tiles(batches, "component", lambda held: held.nbytes > SET_BYTES):
-            node, own, cross = (rows.column(c).to_numpy() for c in ("node", "own", "cross"))
+            node, label, guest = (rows.column(c).to_numpy() for c in ("node", "label", "guest"))
             sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
             fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(sets), -1)
 
             def alike(i, j):
-                if cross[i] and own[i] == own[j]:  # a pair of another tile
-                    return False
                 small, large = sorted((len(sets[i]), len(sets[j])))
                 if small / large < similarity:
                     return False
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 return both / (small + large - both) >= similarity
 
-            found = bucket_links(fps, tile_numbers(rows, "component"), radius, alike)
+            found = bucket_links(fps, tile_numbers(rows, "component"), radius, alike, label, guest)
             if found:
                 a, b = np.array(found).T
                 yield to_batch(LINK, a=node[a], b=node[b])
 
-    sets = texts.select("component", "node", "parts", "fp", "text").mapInArrow(draw, "component long, node long, parts long, fp binary, hashes binary")
-    dealt = in_tiles(sets).repartition(width(docs), "component", "tile").sortWithinPartitions("component", "tile", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    def find(rows: DataFrame) -> DataFrame:
+        chosen = checkpoint(rows)
+        if chosen.count() <= BROADCAST_ROWS:
+            chosen = F.broadcast(chosen)
+        texts = docs.select("doc_id", "text").join(chosen, (F.col("doc_id") == F.col("node")) & (F.xxhash64("text") == F.col("digest")))
+        sets = texts.select(*names, "text").mapInArrow(draw, ddl)
+        return tile_rows(sets, "component").mapInArrow(run, "a long, b long")
+
+    return linked_in_parts(checkpoint(groups), "component", TILE, find)
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 16, tables: int = 8) -> DataFrame:
@@ -453,8 +494,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     radius six standard deviations beyond the similarity's; each link is then confirmed
     by the exact Jaccard similarity of the sets of shingle hashes (64 bits). Candidates
     meet in a bucket if their least two hashes agree in one of ``tables`` tables, which at
-    0.8 fails once in 3000 pairs. Buckets are compared bit-sliced; one above BUCKET rows is
-    cut into tiles, each pair of which is compared by itself.
+    0.8 fails once in 3000 pairs. Buckets are compared bit-sliced; those above BUCKET rows
+    in parts (``linked_in_parts``).
     Texts without a word are one group; null ids take no part and have no row.
     """
 
@@ -468,22 +509,22 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     nodes = sketches.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("n"), F.first("keys").alias("keys"))
     nodes = nodes.select("fp", F.col("n.doc_id").alias("node"), F.col("n.digest").alias("digest"), "keys")
     rows = checkpoint(nodes.select(F.explode("keys").alias("key"), "node", "fp"))
-    rows = in_tiles(with_parts(rows, "key", BUCKET)).select("key", "tile", "node", "fp")
     radius = candidate_radius(similarity, 64 * lanes)
 
     def run(batches):
         for rows in whole_tiles(batches, "key", lambda held: held.num_rows >= 8 * BUCKET):
-            node, group = rows.column("node").to_numpy(), tile_numbers(rows, "key")
+            group = tile_numbers(rows, "key")
             many = np.bincount(group)[group] > 1
             if many.any():
+                node, label, guest = (rows.column(c).to_numpy()[many] for c in ("node", "label", "guest"))
                 fps = np.frombuffer(b"".join(rows.column("fp").filter(pa.array(many)).to_pylist()), np.uint64).reshape(-1, lanes)
-                node, found = node[many], bucket_links(fps, group[many], radius)
+                found = bucket_links(fps, group[many], radius, None, label, guest)
                 if found:
                     a, b = np.array(found).T
                     yield to_batch(LINK, a=node[a], b=node[b])
 
-    dealt = rows.repartition(width(docs), "key", "tile").sortWithinPartitions("key", "tile")
-    near = checkpoint(components(dealt.mapInArrow(run, "a long, b long")))
+    links = linked_in_parts(rows, "key", BUCKET, lambda r: tile_rows(r, "key").mapInArrow(run, "a long, b long"))
+    near = checkpoint(components(links))
     # the least node of a component has no row of its own there
     near = near.union(near.select(F.col("component").alias("node"), "component").distinct())
     links = similar_sets(docs, nodes.drop("keys").join(near, "node"), shingle, similarity, radius)
@@ -492,9 +533,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
 
 def first_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that have a near copy of smaller doc_id. Rows without an id stay."""
+    """The rows of ``docs``, all columns, without those that have a near copy of smaller doc_id.
+
+    Rows without an id stay, each of them; rows that repeat an id and a text are one, the rest of their columns from any.
+    """
     copies = similar_documents(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+    left = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
+    return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,3 +145,82 @@ def test_similar_texts_are_linked_by_the_exact_limit(spark, monkeypatch, tile):
         rows.append((len(rows), " ".join(shared + [f"t{k}x{j}" for j in range(25)])))
     got = {r["doc_id"]: r["component_id"] for r in m.similar_documents(table(spark, rows)).collect()}
     assert got == want
+
+
+def test_dense_clusters_larger_than_a_bucket_lose_no_link(spark):
+    # fingerprints that differ in 14 bits alone; one has a single neighbour two bits away
+    far = 0b11_1111_1111_1111
+    values = [v for v in range(1 << 14) if v == far or (v ^ far).bit_count() > 2]
+    values.append(far ^ 0b101)
+    fps = [v << 7 for v in values]
+    assert len(fps) > 10_000 > 2 * m.BUCKET
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long").repartition(20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        links = m.print_links(df, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in links)
+    got = {r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    # brute force: breadth first over all values that differ in one or two bits
+    known, todo = {values[0]}, [values[0]]
+    every = set(values)
+    steps = [1 << a | 1 << b for a in range(14) for b in range(a + 1)]
+    while todo:
+        v = todo.pop()
+        for s in steps:
+            if (w := v ^ s) in every and w not in known:
+                known.add(w)
+                todo.append(w)
+    assert len(known) == len(values) and got == {0}
+
+
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_components_of_random_links_and_hubs(spark, monkeypatch, most):
+    import embspark.llm.components as c
+
+    monkeypatch.setattr(c, "CONTRACTED", most)
+    monkeypatch.setattr(c, "BROADCAST_NODES", most)
+    rng = random.Random(most)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000, 1001 + k) for k in range(300)] + [(2000 + k, 2001 + k) for k in range(60)]
+    want = brute_components({x for p in links for x in p}, lambda a, b: False)
+    up = dict(want)
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    got = {r["node"]: r["component"] for r in components(df).collect()}
+    assert got == {n: root(n) for n in up if root(n) != n}
+
+
+def test_large_groups_are_linked_in_parts_without_copies_of_their_main_tree(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUCKET", 40)
+    monkeypatch.setattr(m, "TILE", 30)
+    seen = []
+    kept = m.tile_rows
+    monkeypatch.setattr(m, "tile_rows", lambda rows, key: seen.append(rows.select(m.F.size("tiles").alias("n"))) or kept(rows, key))
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(400):  # a hub of near copies, and a few that are near to some of them alone
+        text = base[:]
+        text[rng.randrange(300)] = f"e{k}"
+        rows.append((k, " ".join(text)))
+    for k in range(6):
+        text = rows[7 * k][1].split(" ")
+        for at in rng.sample(range(300), 4):
+            text[at] = f"f{k}x{at}"
+        rows.append((1000 + k, " ".join(text)))
+    got = {r["doc_id"]: r["component_id"] for r in m.similar_documents(table(spark, rows)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert got == brute_components(sets, near)
+    # the first look at a group has every row twice at most, and then only rows outside its main tree are copied
+    assert len(seen) == 4 and all(df.agg(m.F.max("n")).first()[0] <= 2 for df in seen[::2])
+    assert all(df.where("n > 2").count() <= 12 * 8 for df in seen[1::2])
