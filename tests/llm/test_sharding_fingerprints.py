@@ -98,3 +98,9 @@ def test_ids_at_both_ends_outliers_and_rows_without_an_id(spark, monkeypatch):
     assert Counter(r["near_next"] for r in out if r["doc_id"] is None) == Counter({1.0: 60, 0.0: 30})
     with_none = m.with_next(table(spark, rows)).collect()
     assert Counter(r["next_text"] for r in with_none) == Counter(t for _, t in rows)
+
+
+def test_matrices_are_drawn_with_their_joint_probabilities():
+    # four rows, two buckets of two, two shards of two: 6 arrangements, of which 1, 4 and 1 have 0, 1 and 2 of the first bucket in the first shard
+    draws = Counter(int(communication_matrix(np.array([2, 2]), np.array([2, 2]), k)[0, 0]) for k in range(3000))
+    assert all(abs(draws[n] / 3000 - p) < 0.04 for n, p in ((0, 1 / 6), (1, 4 / 6), (2, 1 / 6)))
