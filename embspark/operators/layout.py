@@ -95,3 +95,26 @@ def rows_on_dirty_pages(log: DataFrame, generation: int) -> DataFrame:
     """Page-granular delta: all rows on pages that a generation touched."""
     touched = dirty_pages(log).where(F.col("generation") == generation).select("dim", "page")
     return slots(log).join(touched, ["dim", "page"], "left_semi").select("feat_id", "dim", "entry_idx")
+
+
+def unflushed(log: DataFrame, generation: int, budget: int = 64) -> DataFrame:
+    """``feat_id, dim, page`` of the ids that a generation wrote and a flush of ``budget`` pages, the first in order, left buffered."""
+    own = log.where(F.col("generation") == generation).select("dim", "feat_id").distinct()
+    rows = slots(log).join(own, ["dim", "feat_id"], "left_semi")
+    pages = rows.select(F.lit(generation).alias("generation"), "dim", "page").distinct()
+    flushed = in_steps(pages, budget).where("step = 0").select("dim", "page")
+    return rows.join(flushed, ["dim", "page"], "left_anti").select("feat_id", "dim", "page")
+
+
+def run_chunks(runs: DataFrame, most: int = 1024) -> DataFrame:
+    """``generation, dim, chunk, n_runs, n_pages``: runs in order, ``most`` to one write."""
+    ranked = running(runs, ["generation", "dim"], "pg_start", F.lit(1), "nth")
+    chunk = F.floor((F.col("nth") - 1) / most).cast("long").alias("chunk")
+    return ranked.groupBy("generation", "dim", chunk).agg(F.count("*").alias("n_runs"), F.sum("pg_count").alias("n_pages"))
+
+
+def entry_ranges(rows: DataFrame) -> DataFrame:
+    """``dim, first, n``: ``rows(dim, entry_idx)`` as ranges of consecutive entries, as an export reads them."""
+    ranked = running(rows.select("dim", "entry_idx"), ["dim"], "entry_idx", F.lit(1), "nth")
+    islands = ranked.withColumn("island", F.col("entry_idx") - F.col("nth")).groupBy("dim", "island")
+    return islands.agg(F.min("entry_idx").alias("first"), F.count("*").alias("n")).drop("island")

@@ -28,6 +28,16 @@ def batch_get(requests: DataFrame, store: DataFrame, columns: Sequence[str] = ("
     return requests.join(found, "feat_id", "left").select("pos", "feat_id", F.coalesce("dim", F.lit(0)).alias("dim"), *columns)
 
 
+def preview(rows: DataFrame, n: int = 4) -> DataFrame:
+    """``feat_id, nth, value``: the first ``n`` elements of each vector, counted from 1."""
+    return rows.select("feat_id", F.posexplode(F.slice("embedding", 1, n)).alias("at", "value")).select("feat_id", (F.col("at") + 1).cast("long").alias("nth"), "value")
+
+
+def of_dims(rows: DataFrame, dims: Sequence[int]) -> DataFrame:
+    """Rows of these dims alone; on a store's files a filter of partitions."""
+    return rows.where(F.col("dim").isin([int(d) for d in dims]))
+
+
 def cache_split(requests: DataFrame, cache: DataFrame, store: DataFrame, columns: Sequence[str] = ("embedding",)) -> DataFrame:
     """``batch_get`` through a read cache: ids that ``cache`` holds are answered from it, the others alone are looked up; ``source`` says which.
 

@@ -448,3 +448,35 @@ def q50(spark, d):
         rest = now.join(changes.select("feat_id"), "feat_id", "left_anti")
         live = rest.select("feat_id", "dim", "value", "seq").unionByName(changes.where("op = 'P'").select("feat_id", "dim", "value", "seq"))
     return live
+
+
+@query("q51_preview", f"WITH {STORE0} SELECT feat_id, i::BIGINT AS nth, round(embedding[i]::DOUBLE, 6) AS value FROM store0, (SELECT unnest(range(1, 5)) AS i)")
+def q51(spark, d):
+    return semantics.preview(store0(spark, d), 4).select("feat_id", "nth", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query("q52_export_of_dims", f"WITH {MUT}, {state_sql('generation <= 3')} SELECT feat_id, dim, value FROM state WHERE dim IN (32, 128)")
+def q52(spark, d):
+    state = semantics.apply_log(mutations(spark, d).where("generation <= 3")).select("feat_id", "dim", "value")
+    return semantics.of_dims(state, (32, 128))
+
+
+@query("q53_partial_flush", f"""WITH {SLOTS}, o AS (SELECT DISTINCT dim, feat_id FROM puts WHERE generation = 2), r AS (SELECT s.feat_id, s.dim, s.page FROM slots s JOIN o ON s.dim = o.dim AND s.feat_id = o.feat_id),
+ p AS (SELECT dim, page, row_number() OVER (ORDER BY dim, page) AS nth FROM (SELECT DISTINCT dim, page FROM r)) SELECT r.feat_id, r.dim, r.page FROM r JOIN p ON r.dim = p.dim AND r.page = p.page WHERE nth > 8""")
+def q53(spark, d):
+    return layout.unflushed(only_puts(spark, d), 2, 8)
+
+
+@query("q54_run_chunks", f"""WITH {SLOTS}, i AS (SELECT *, page - row_number() OVER (PARTITION BY generation, dim ORDER BY page) AS island FROM dirty),
+ r AS (SELECT generation, dim, min(page) AS pg_start, count(*) AS pg_count FROM i GROUP BY generation, dim, island), n AS (SELECT *, (row_number() OVER (PARTITION BY generation, dim ORDER BY pg_start) - 1) // 2 AS chunk FROM r)
+ SELECT generation, dim, chunk, count(*) AS n_runs, sum(pg_count)::BIGINT AS n_pages FROM n GROUP BY generation, dim, chunk""")
+def q54(spark, d):
+    return layout.run_chunks(layout.dirty_runs(layout.dirty_pages(only_puts(spark, d))), 2)
+
+
+@query("q55_entry_ranges", f"""WITH {SLOTS}, r AS (SELECT s.dim, s.entry_idx FROM slots s JOIN (SELECT DISTINCT dim, feat_id FROM puts WHERE generation = 3) t ON s.dim = t.dim AND s.feat_id = t.feat_id),
+ i AS (SELECT *, entry_idx - row_number() OVER (PARTITION BY dim ORDER BY entry_idx) AS island FROM r) SELECT dim, min(entry_idx) AS first, count(*) AS n FROM i GROUP BY dim, island""")
+def q55(spark, d):
+    puts = only_puts(spark, d)
+    own = puts.where("generation = 3").select("dim", "feat_id").distinct()
+    return layout.entry_ranges(layout.slots(puts).join(own, ["dim", "feat_id"], "left_semi"))
