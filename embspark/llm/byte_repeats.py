@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from embspark.llm.common import documents, encoded, slices, to_batch
 from embspark.llm.grouping import common_prefixes, suffix_array
-from embspark.llm.repeats import Stretches, Unit, merged, with_spans
+from embspark.llm.repeats import SPANS, Stretches, Unit, merged, with_spans
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 #: Bytes of the shorter passages that op6 reports beside what it removes: below the length of 51 words in any of the languages.
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False,
     def run(batches):
         for part in slices(batches):
             rows = []
-            for doc, text, found in zip(part.column("doc_id").to_pylist(), encoded(part.column("text")), part.column("spans").to_pylist(), strict=True):
+            for doc, text, found in zip(part.column("doc_id").to_pylist(), encoded(part.column("text")), part.column(SPANS).to_pylist(), strict=True):
                 cuts = merged(found, len(text))
                 left = hashlib.sha256()
                 at = 0
@@ -200,7 +200,7 @@ def deduplicated_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     def run(batches):
         for part in slices(batches):
             texts, sizes, stay = [], [], []
-            for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            for text, found in zip(part.column("text").to_pylist(), part.column(SPANS).to_pylist(), strict=True):
                 stay.append(True)
                 if text and found:
                     raw = text.encode()

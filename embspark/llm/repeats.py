@@ -45,7 +45,8 @@ STRETCH = pa.schema([
 ])
 STRETCH_DDL = "anchor long, whole long, doc_id long, start long, level int, at int, lo int, n int, lo2 int, n2 int, tokens binary"
 SPAN = pa.schema([("level", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-SPANS_DDL = "array<struct<level:int,lo:bigint,hi:bigint>>"
+#: The column that texts get beside their own, whatever these are called.
+SPANS, SPANS_DDL = "__spans", "array<struct<level:int,lo:bigint,hi:bigint>>"
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -489,7 +490,7 @@ def merged(ranges: list[dict] | None, most: int, level: int = 0) -> list[tuple[i
 
 
 def with_spans(docs: DataFrame, unit: Unit) -> DataFrame:
-    """``docs`` with ``spans``. Rows without an id take no part and have none."""
+    """``docs`` with SPANS. Rows without an id take no part and have none."""
     named = docs.where("doc_id is not null")
-    found = named.join(removed_spans(named.select("doc_id", "text"), unit), "doc_id", "left")
-    return found.select(*docs.columns, "spans").unionByName(docs.where("doc_id is null").withColumn("spans", F.lit(None).cast(SPANS_DDL)))
+    found = named.join(removed_spans(named.select("doc_id", "text"), unit).withColumnRenamed("spans", SPANS), "doc_id", "left")
+    return found.select(*docs.columns, SPANS).unionByName(docs.where("doc_id is null").withColumn(SPANS, F.lit(None).cast(SPANS_DDL)))

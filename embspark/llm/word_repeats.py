@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from embspark.llm.common import documents, encoded, slices, to_batch
-from embspark.llm.repeats import Stretches, Unit, merged, with_spans
+from embspark.llm.repeats import SPANS, Stretches, Unit, merged, with_spans
 from embspark.llm.suffix_trees import Tree
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -92,7 +92,7 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     def run(batches):
         for part in slices(batches):
             rows = []
-            for doc, text, found in zip(part.column("doc_id").to_pylist(), encoded(part.column("text")), part.column("spans").to_pylist(), strict=True):
+            for doc, text, found in zip(part.column("doc_id").to_pylist(), encoded(part.column("text")), part.column(SPANS).to_pylist(), strict=True):
                 words = text.split()
                 gone, left, at = 0, [], 0
                 for lo, hi in merged(found, len(words)):

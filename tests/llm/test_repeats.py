@@ -129,6 +129,14 @@ def test_copies_in_many_documents_and_shorter_passages(spark, limits):
     assert {i: got[i] for i in seqs} == {i: len(c) for i, c in cover.items()}
 
 
+def test_columns_with_names_of_the_operators_own(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    names = ["spans", "again", "anchor", "hot", "level", "start"]
+    df = spark.createDataFrame([(1, text, 3, *names), (2, text, 3, *names), (None, None, 0, *names)], "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    out = b.deduplicated_texts(df, 60)
+    assert out.columns == df.columns and {(r["doc_id"], r["spans"], r["hot"]) for r in out.collect()} == {(1, "spans", "hot"), (None, "spans", "hot")}
+
+
 @pytest.mark.parametrize("letters", [2, 3, 8])
 def test_deep_nodes_of_a_tree_are_the_maximal_repeats(letters):
     rng = random.Random(letters)
