@@ -20,7 +20,7 @@ LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 ROW = ["mask", "key", "fp", "node"]
 #: A bucket with more fingerprints than this is split by further bits, unless no more than FREE bits are left.
 BUCKET, FREE = 4096, 12
-#: Rows of one part of a group of candidates whose sets are compared; rows of candidates that are broadcast at most (about 200 bytes each).
+#: Rows of one part of a group of candidates whose sets are compared; rows that are broadcast at most (two or three longs each).
 TILE, BROADCAST_ROWS = 1024, 100_000
 #: Bytes of rows with sets that are held at once, if no tile is larger.
 SET_BYTES = 64 << 20
@@ -450,13 +450,11 @@ def similar_sets(docs: DataFrame, groups: DataFrame, shingle: int, similarity: f
     The pairs of a component within ``radius`` are compared set by set, but those that
     confirmed links connect already; components above TILE rows are compared in parts.
     """
-    names = ["component", "node", "label", "fp", "tiles"]
-    ddl = "component long, node long, label long, fp binary, tiles array<struct<tile:long,guest:boolean>>, hashes binary"
 
     def draw(batches):
         for part in slices(batches):
             sets = [np.unique(shingle_hashes(t.lower().split(), shingle)).tobytes() for t in encoded(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
     def run(batches):
         for rows in whole_tiles(batches, "component", lambda held: held.nbytes > SET_BYTES):
@@ -478,11 +476,13 @@ def similar_sets(docs: DataFrame, groups: DataFrame, shingle: int, similarity: f
 
     def find(rows: DataFrame) -> DataFrame:
         chosen = checkpoint(rows)
-        if chosen.count() <= BROADCAST_ROWS:
-            chosen = F.broadcast(chosen)
-        texts = docs.select("doc_id", "text").join(chosen, (F.col("doc_id") == F.col("node")) & (F.xxhash64("text") == F.col("digest")))
-        sets = texts.select(*names, "text").mapInArrow(draw, ddl)
-        return tile_rows(sets, "component").mapInArrow(run, "a long, b long")
+        # a guest has as many tiles as its group has parts, so the tiles are joined by a shuffle, whatever the number of rows
+        keys = chosen.select("node", "digest")
+        if keys.count() <= BROADCAST_ROWS:
+            keys = F.broadcast(keys)
+        texts = docs.select("doc_id", "text").join(keys, (F.col("doc_id") == F.col("node")) & (F.xxhash64("text") == F.col("digest")))
+        sets = texts.select("node", "text").mapInArrow(draw, "node long, hashes binary")
+        return tile_rows(chosen.drop("digest").join(sets, "node"), "component").mapInArrow(run, "a long, b long")
 
     return linked_in_parts(checkpoint(groups), "component", TILE, find)
 

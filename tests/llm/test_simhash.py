@@ -224,3 +224,26 @@ def test_large_groups_are_linked_in_parts_without_copies_of_their_main_tree(spar
     # the first look at a group has every row twice at most, and then only rows outside its main tree are copied
     assert len(seen) == 4 and all(df.agg(m.F.max("n")).first()[0] <= 2 for df in seen[::2])
     assert all(df.where("n > 2").count() <= 12 * 8 for df in seen[1::2])
+
+
+def test_nothing_is_broadcast_whose_rows_grow_with_a_group(spark, monkeypatch):
+    monkeypatch.setattr(m, "TILE", 10)
+    kinds, kept = [], m.F.broadcast
+    monkeypatch.setattr(m.F, "broadcast", lambda df: kinds.append(dict(df.dtypes)) or kept(df))
+    shared = [f"s{j}" for j in range(154)]
+    rows = [(k, " ".join(shared + [f"t{k // 2}x{j}" for j in range(25 - k % 2)])) for k in range(120)]
+    # one group of candidates, whose rows outside the main tree go to each of its 12 parts
+    got = {r["doc_id"]: r["component_id"] for r in m.similar_documents(table(spark, rows)).collect()}
+    assert got == {k: k - k % 2 for k in range(120)}
+    assert {"node", "digest"} in [set(k) for k in kinds]
+    assert {kind for k in kinds for kind in k.values()} == {"bigint"}
+
+
+def test_size_estimates_do_not_grow_from_checkpoint_to_checkpoint(spark):
+    rows = spark.range(200).select(m.F.col("id").alias("a"), (m.F.col("id") + 1).alias("b"))
+    for _ in range(5):
+        rows = m.checkpoint(rows.join(rows.select("a", m.F.col("b").alias("c")), "a").join(rows.select("a", m.F.col("b").alias("d")), "a").select("a", "b"))
+        assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+    assert sorted(map(tuple, rows.collect())) == [(k, k + 1) for k in range(200)]
+    twice = rows.union(rows).groupBy("a").count().where("count = 2")
+    assert twice.join(rows, "a").count() == 200
